@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gymlake.llm import mixing_queries
+from gymlake.llm import media, mixing_queries, packing_queries, substring_queries
 
-QUERIES = {**mixing_queries.QUERIES}
-ORACLES = {**mixing_queries.ORACLES}
+_MODULES = (media, packing_queries, substring_queries, mixing_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
