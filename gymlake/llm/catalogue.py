@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
-from gymlake.llm import media, mixing_queries, packing_queries, substring_queries
+from gymlake.llm import (
+    chat_queries,
+    html_queries,
+    media,
+    mixing_queries,
+    ngram_join_queries,
+    packing_queries,
+    quality_model_queries,
+    quality_rules_queries,
+    substring_queries,
+    toxicity_queries,
+)
 
-_MODULES = (media, packing_queries, substring_queries, mixing_queries)
+_MODULES = (
+    quality_rules_queries,
+    quality_model_queries,
+    html_queries,
+    media,
+    ngram_join_queries,
+    packing_queries,
+    substring_queries,
+    mixing_queries,
+    chat_queries,
+    toxicity_queries,
+)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
