@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gymlake.plans import scores
+from gymlake.plans import bank, rates, scores, study
 
-QUERIES = {**scores.QUERIES}
-ORACLES = {**scores.ORACLES}
+_MODULES = (scores, rates, study, bank)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
