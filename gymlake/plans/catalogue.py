@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gymlake.plans import bank, rates, scores, study
+from gymlake.plans import bank, playbooks, rates, scores, states, study, texts
 
-_MODULES = (scores, rates, study, bank)
+_MODULES = (scores, rates, study, bank, texts, states, playbooks)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
