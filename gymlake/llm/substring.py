@@ -156,6 +156,7 @@ def repeats(docs: DataFrame, depth: int = DEPTH, upper: int = UPPER, text: str =
     nodes = long.join(copies, "doc_id", "left_anti").select("doc_id", F.explode("nodes").alias("node"))
     nodes_path, nodes = scratch.write(nodes)
     shared = nodes.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("node")
+    shared_path, shared = scratch.write(shared)
     per_doc = nodes.join(shared, "node", "left_semi").groupBy("doc_id").agg(F.collect_set("node").alias("shared"))
     extended = narrow.join(per_doc, "doc_id", "inner").select("doc_id", "text", "shared").mapInArrow(_extend(depth, upper), "doc_id long, start array<int>, path array<long>")
     extended_path, extended = scratch.write(extended)
@@ -164,11 +165,13 @@ def repeats(docs: DataFrame, depth: int = DEPTH, upper: int = UPPER, text: str =
 
     paths = extended.select("doc_id", F.explode(F.arrays_zip("start", "path")).alias("w")).select("doc_id", F.col("w.start").alias("start"), F.col("w.path").alias("path"))
     deep = paths.groupBy("path").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("path", "least")
+    deep_path, deep = scratch.write(deep)  # then both sides of the join are dealt anew, and a path in many documents can be split
+    release(spark)
     found = paths.join(deep, "path").where(F.col("doc_id") > F.col("least")).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     out = found.select("doc_id", F.lit(False).alias("is_copy"), "starts").unionByName(copies.select("doc_id", F.lit(True).alias("is_copy"), F.array().cast("array<int>").alias("starts")))
     out = scratch.table(out)
-    scratch.drop(extended_path)
-    scratch.drop(copies_path)
+    for path in (extended_path, copies_path, deep_path, shared_path):
+        scratch.drop(path)
     release(spark)
     return out
 
