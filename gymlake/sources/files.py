@@ -32,7 +32,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, stric
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value): non-blank lines of each file, numbered from 0 within it. Files are small reports, one task each."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("line", "value"))
     return lines
 
 
@@ -80,7 +80,7 @@ def read_iterations(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 def read_playbooks(spark: SparkSession, path: str) -> DataFrame:
     """Playbook documents, unwrapped from an iteration record; the older format with modules and no entries is an error."""
-    v = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("v"))
+    v = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("v"))
     inner = F.coalesce(F.try_variant_get("v", "$.playbook_after", "variant"), F.col("v"))
     v = v.select("file", inner.alias("v"))
     stale = F.try_variant_get("v", "$.modules", "variant").isNotNull() & F.try_variant_get("v", "$.entries", "variant").isNull()
@@ -112,7 +112,7 @@ def read_prompts(spark: SparkSession, keys: dict[str, str]) -> DataFrame:
     there = [p for _, p in rows if p]
     if not there:
         return grid.select("domain", F.lit("").alias("prompt"))
-    texts = spark.read.option("wholetext", True).text(there).select(F.regexp_replace("_metadata.file_path", "^file:/*", "/").alias("p"), "value")
+    texts = spark.read.text(there, wholetext=True).select(F.regexp_replace("_metadata.file_path", "^file:/*", "/").alias("p"), "value")
     return grid.join(F.broadcast(texts), F.regexp_replace("path", "^file:/*", "/") == F.col("p"), "left").select("domain", F.coalesce("value", F.lit("")).alias("prompt"))  # a file per domain
 
 
