@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gymlake.plans import bank, files, playbooks, rates, reports, scores, states, study, texts
+from gymlake.plans import bank, files, playbooks, rates, records, reports, scores, states, study, texts
 
-_MODULES = (scores, rates, study, bank, texts, states, playbooks, reports, files)
+_MODULES = (scores, rates, study, bank, texts, states, playbooks, reports, records, files)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
