@@ -26,10 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"file://{tempfile.gettempdir()}/gymlake-shared"
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint(), with the shared folder set where the session has none."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder; they survive lost executors."""
 

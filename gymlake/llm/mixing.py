@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import WORD
+from gymlake.llm.common import WORD, checkpointed
 
 BLOCK = 16
 DOCS_PER_SHARD = 1000
@@ -81,11 +81,11 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK, text: str = "text",
     Repeated rows count each. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
-    sized = docs.select(
+    sized = checkpointed(docs.select(
         F.col(key).alias("doc_id"), F.col(source).cast("string").alias("_source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(key), F.length(text)).alias("_order"),
-    ).checkpoint()
+    ))
     totals = sized.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = totals.limit(MAX_SOURCES + 1).toPandas()
     if len(sources) > MAX_SOURCES:
@@ -142,15 +142,18 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a text repeated `taken // size` times and then its first `taken % size` words.
 
     A row of which nothing is taken goes. One row per document remains, so doc_id stays a key; n_chars follows the text.
+    Rows that repeat a doc_id and size take the larger share each. Other columns stay, whatever their names.
     """
-    taken = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).dropDuplicates(["_key", "_size"])
-    text = F.col("text")
-    whole = F.array_join(F.array_repeat(text, F.floor(F.col("_taken") / F.col("_size")).cast("int")), "\n")
-    rest = (F.col("_taken") % F.col("_size")).cast("int")
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text")}
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("key"), F.col("size").alias("size")).agg(F.max("taken").alias("taken")).where("taken > 0")
+    inner, text = docs.toDF(*names), F.col(at["text"])
+    whole = F.array_join(F.array_repeat(text, F.floor(F.col("taken") / F.col("size")).cast("int")), "\n")
+    rest = (F.col("taken") % F.col("size")).cast("int")
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), 1, rest), " ")
-    new = F.when(rest == 0, whole).when(F.col("_taken") < F.col("_size"), first).otherwise(F.concat_ws("\n", whole, first))
-    joined = docs.join(taken, (docs["doc_id"] == taken["_key"]) & (F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)) == taken["_size"]), "inner")
-    out = joined.withColumn("text", new)
+    new = F.when(rest == 0, whole).when(F.col("taken") < F.col("size"), first).otherwise(F.concat_ws("\n", whole, first))
+    joined = inner.join(taken, (inner[at["doc_id"]] == taken["key"]) & (F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)) == taken["size"]), "inner")
+    out = joined.withColumn(at["text"], new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+        out = out.withColumn(names[docs.columns.index("n_chars")], F.length(at["text"]).cast("long"))
+    return out.select(*names).toDF(*docs.columns)

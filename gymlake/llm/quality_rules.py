@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gymlake.functions.stats import binomial_tail
+from gymlake.llm.common import checkpointed
 
 SPACES = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
@@ -113,7 +114,7 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     the base rules rejects. Null and empty texts fail the base rules. Repeated
     rows are judged each. Other columns are not read.
     """
-    ready = _ready(docs, text, key).checkpoint()
+    ready = checkpointed(_ready(docs, text, key))
     marked = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("_q")).where("_q = 1").select("doc_id")
     chosen = cutoffs(ready.where(~F.col("base_failed")).join(marked, "doc_id", "left_semi"))
     # at most one row per stratum, of which there are len(STRATA) + 1
