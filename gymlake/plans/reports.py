@@ -111,7 +111,7 @@ def family_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, case when doc_id % 3 = 2 then 3 else 4 end lo, case when doc_id % 3 = 2 then 3 else 4 end hi from documents")
 def graph_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = F.element_at(F.array(F.lit("/models/Qwen3-8B/"), F.lit("Qwen-AgentWorld-35B-A3B"), F.lit("other")), (F.col("doc_id") % 3 + 1).cast("int"))
+    model = F.element_at(F.array(F.lit("/models/Agent-8B/"), F.lit("Simulator-35B"), F.lit("other")), (F.col("doc_id") % 3 + 1).cast("int"))
     requests = table(spark, sf_dir, "documents").select("doc_id", model.alias("model"), F.col("lang").alias("family"))
     sizes = spark.createDataFrame(C.GRAPH_SIZES, "model string, family string, lo int, hi int")
     return C.graph_size(requests, sizes).select("doc_id", "lo", "hi")

@@ -39,8 +39,8 @@ TOOLS = (
 )
 DESTRUCTIVE = ("delete_record", "remove_path", "delete_note")
 HELD_OUT_FAMILY = "web_research"
-# Nodes of the sampled tool graph, by model; the default comes last.
-GRAPH_SIZES = (("qwen3-8b", None, 4, 4), ("qwen-agentworld-35b-a3b", None, 4, 4), (None, None, 3, 3))
+# Nodes of the sampled tool graph by model, an example of the table that `graph_size` takes; the default comes last.
+GRAPH_SIZES = (("agent-8b", None, 4, 4), ("simulator-35b", None, 4, 4), (None, None, 3, 3))
 
 
 def domains(spark: SparkSession) -> DataFrame:
