@@ -152,7 +152,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     rest = (F.col("taken") % F.col("size")).cast("int")
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), 1, rest), " ")
     new = F.when(rest == 0, whole).when(F.col("taken") < F.col("size"), first).otherwise(F.concat_ws("\n", whole, first))
-    joined = inner.join(taken, (inner[at["doc_id"]] == taken["key"]) & (F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)) == taken["size"]), "inner")
+    joined = inner.join(taken, inner[at["doc_id"]].eqNullSafe(taken["key"]) & (F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)) == taken["size"]), "inner")
     out = joined.withColumn(at["text"], new)
     if "n_chars" in docs.columns:
         out = out.withColumn(names[docs.columns.index("n_chars")], F.length(at["text"]).cast("long"))

@@ -328,3 +328,10 @@ def test_chat_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n_turns", F.lit("clash"))
     assert sorted(tuple(r) for r in chat.render(df).collect()) == brute_chat(rows)
     assert chat.render(df.limit(0)).count() == 0
+
+
+def test_apply_mix_keeps_rows_without_doc_id(spark):
+    df = docs(spark, [doc(None, "a b c d"), doc(1, "e f g h i j k l"), doc(2, None), doc(3, "")])
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(df).collect()}
+    out = {r["doc_id"]: r["text"] for r in mixing.apply_mix(df).collect()}
+    assert {i: len(t.split()) for i, t in out.items()} == {i: n for i, n in taken.items() if n}
