@@ -190,8 +190,8 @@ def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the first and last word of a term may be cut out of longer words, so the key takes words 2 to 6
     keyed = terms.withColumn("w", words(F.col("term"))).withColumn("key", F.when(F.size("w") >= 7, F.array_join(F.slice("w", 2, 5), " ")))
     grams = e.withColumn("w", words(F.col("h"))).select("entry_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))).alias("key"))
-    found = grams.distinct().join(keyed.where("key is not null").select("key", "term"), "key").select("entry_id", "term").distinct().join(e, "entry_id").where(F.col("h").contains(F.col("term")))
-    short = e.join(F.broadcast(keyed.where("key is null").select("term").limit(10_000)), F.col("h").contains(F.col("term")))
+    found = grams.join(keyed.where("key is not null").select("key", "term"), "key").select("entry_id", "term").distinct().join(e, "entry_id").where(F.col("h").contains(F.col("term")))
+    short = e.join(keyed.where("key is null").select("term"), F.col("h").contains(F.col("term")))
     return found.select("entry_id", "term").union(short.select("entry_id", "term")).groupBy("entry_id").agg(F.count("*").alias("n_terms"))
 
 
