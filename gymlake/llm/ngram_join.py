@@ -20,10 +20,13 @@ links, it only changes how many candidates are checked.
 
 Candidates of an index entry with up to SMALL documents are all its pairs,
 filtered by size and, where both prefixes are of rare tokens, by the number of
-shared ones. Larger entries are handled in rounds: the entry's smallest document
-is compared with those not yet in its component, then leaves the entry, until
-each entry lies within one component or is small enough to take its remaining
-pairs. So a group of g copies takes about g checks, not g * g, and no link
+shared ones. Larger entries are of frequent tokens: a pair found there alone
+shares no rare token, so the rare ones of each bound its similarity from above,
+and documents that share a passage but little else drop out. The rest is handled
+in rounds: first the entry's smallest document is compared with those not yet in
+its component, then leaves the entry; what is left of entries that hold several
+components then takes the pairs across components, at first for a slice of its
+documents. So a group of g copies takes about g checks, not g * g, and no link
 between components is missed. Every candidate is verified on the full sets.
 """
 
@@ -46,6 +49,9 @@ MAX_FREQUENT = 1_000_000
 FIRST_BAND = 64
 COUNT_BITS = 40
 FLUSH = 4_000_000
+STARS, SLOTS = 1, 960
+#: Tables of ids with no more rows than this are broadcast; longer ones are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -79,7 +85,7 @@ def classes_of(band: int) -> int:
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int, bool]:
-    """(index entries, prefix length, whether all of them are single rare tokens) of a sorted set."""
+    """(index entries, tokens in the prefix that no frequent entry stands for, whether all entries are single rare tokens) of a sorted set."""
     n = len(tokens)
     need = allowed(n) + 1
     rare = tokens[~frequent]
@@ -108,7 +114,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, in
                 break
             entries.append(mix((chosen[:-step][same] * U(0x9E3779B97F4A7C15)) ^ mix(chosen[step:][same] ^ tag)))
             step += 1
-    return np.concatenate(entries), n, False
+    return np.concatenate(entries), len(rare), False
 
 
 def _count(buckets: int):
@@ -223,6 +229,11 @@ def _similar_size(a: str, b: str):
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
+def light(ids: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast if a count shows it to be short."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", small: int = SMALL, rare_most: int = RARE_MOST) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable by links).
 
@@ -238,7 +249,7 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", sma
     often, threshold = frequent_tokens(narrow, scratch, rare_most)
     release(spark)
     shared = spark.sparkContext.broadcast(often)
-    index = scratch.table(narrow.mapInArrow(_index(shared), "doc_id long, n long, slack long, pure boolean, d1 long, d2 long, entries array<long>"))
+    index_path, index = scratch.write(narrow.mapInArrow(_index(shared), "doc_id long, n long, slack long, pure boolean, d1 long, d2 long, entries array<long>"))
     some = index.where("n > 0 and doc_id is not null")
     classes = scratch.table(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     kept = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
@@ -250,27 +261,40 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", sma
     shared_entries = entries.groupBy("entry").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("entry", "size")
     shared_entries = scratch.table(shared_entries)  # then both sides of the join are dealt anew, and a large entry can be split
     release(spark)
-    hits = scratch.table(entries.join(shared_entries, "entry"))
+    hits_path, hits = scratch.write(entries.join(shared_entries, "entry"))
     scratch.drop(entries_path)
     release(spark)
 
     few, many = hits.where(F.col("size") <= small), hits.where(F.col("size") > small)
-    a, b = (few.select("entry", F.col("doc_id").alias(x)) for x in "ab")
-    pairs = a.join(b, "entry").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    ma, mb = (meta.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("slack").alias(f"s{x}"), F.col("pure").alias(f"p{x}")) for x in "ab")
-    pairs = pairs.join(ma, "a").join(mb, "b").where(_similar_size("na", "nb"))
-    if threshold <= small:  # then every shared rare token was counted, and none beyond both prefixes is shared but for the slack
-        pairs = pairs.where(~(F.col("pa") & F.col("pb")) | (9 * (F.col("shared") + F.greatest("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))))
+    exact_counts = threshold <= small  # then entries of rare tokens are small, and `shared` counts every rare token that two prefixes share
+    sized = scratch.table(few.join(meta, "doc_id").select("entry", "doc_id", "n", "slack", "pure"))
+    a, b = (sized.select("entry", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("slack").alias(f"s{x}"), F.col("pure").alias(f"p{x}")) for x in "ab")
+    own = [F.first(f"{c}{x}").alias(f"{c}{x}") for c in "nsp" for x in "ab"]
+    pairs = a.join(b, "entry").where((F.col("a") < F.col("b")) & _similar_size("na", "nb")).groupBy("a", "b").agg(F.count("*").alias("shared"), *own)
+    if exact_counts:  # what a pair may share besides: tokens after the prefix that ends first, or frequent ones
+        beyond = F.when(~F.col("pa") & ~F.col("pb"), F.least("sa", "sb")).when(F.col("pa") & F.col("pb"), F.greatest("sa", "sb")).when(F.col("pa"), F.col("sa")).otherwise(F.col("sb"))
+        pairs = pairs.where(9 * (F.col("shared") + beyond) >= 4 * (F.col("na") + F.col("nb")))
     pairs = scratch.table(pairs.select("a", "b"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(many.select("doc_id")).distinct()
-    sets = scratch.table(narrow.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, tokens array<long>"))
+    # Pairs of large entries that share a rare token are among the above; the others share frequent tokens alone, so both must be nearly made of
+    # such, and the smaller one almost wholly ("core").
+    large = many.join(meta.select("doc_id", "n", "slack"), "doc_id").select("entry", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("slack").alias("sb"))
+    core = (9 * F.col("sb") >= 8 * F.col("nb")) if exact_counts else F.lit(True)
+    fits = _similar_size("na", "nb") & ((9 * F.least("sa", "sb") >= 4 * (F.col("na") + F.col("nb"))) if exact_counts else F.lit(True))
+    first = large.where(core).groupBy("entry").agg(F.min(F.struct("b", "nb", "sb")).alias("p"))
+    first = scratch.table(first.select("entry", F.col("p.b").alias("a"), F.col("p.nb").alias("na"), F.col("p.sb").alias("sa")))
+    large = scratch.table(large.join(first, "entry"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = scratch.table(wanted)
+    sets_path, sets = scratch.write(narrow.join(light(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, tokens array<long>"))
     release(spark)
 
     def verified(candidates: DataFrame) -> DataFrame:
-        sa = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
+        held = scratch.table(candidates.select("a", "b"))
+        firsts = scratch.table(held.select("a").distinct())
+        sa = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")).join(light(firsts), "a", "left_semi")
         sb = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
         both = F.size(F.array_intersect("ta", "tb")).cast("long")
-        joined = candidates.select("a", "b").join(sb, "b").join(sa, "a").select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), both.alias("both"))
+        joined = sb.join(light(held), "b").join(sa, "a").select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), both.alias("both"))
         return joined.where("100 * both >= 80 * (na + nb - both)").select("a", "b")
 
     def ordered(candidates: DataFrame) -> DataFrame:
@@ -281,8 +305,7 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", sma
 
     # Round 1: one partner for each document joins most of what belongs together.
     one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    pivots = many.groupBy("entry").agg(F.min("doc_id").alias("a"))
-    star = many.join(pivots, "entry").where(F.col("doc_id") > F.col("a")).groupBy("a", F.col("doc_id").alias("b")).agg(F.count("*").alias("shared"))
+    star = large.where(fits & (F.col("a") != F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("shared"))
     star = star.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     links = scratch.table(verified(ordered(one.union(star))))
     found = components(links, scratch)
@@ -295,27 +318,44 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", sma
         links = scratch.table(links.union(more))
         found = components(links, scratch)
 
-    # Further rounds: large entries, until each lies within one component.
-    alive = many.select("entry", F.col("doc_id").alias("b"))
+    # Large entries: a star, then all pairs still apart with a core member, first for a slice of these.
+    alive, turn, done = large.select("entry", "b", "nb", "sb"), 0, 0
+    slot = F.pmod(F.xxhash64(F.lit(3), "b"), F.lit(SLOTS))
     while True:
         placed = in_components(alive, "b", found)
-        state = placed.groupBy("entry").agg(F.count("*").alias("size"), F.min("b").alias("a"), F.min_by("cb", "b").alias("ca"), F.min("cb").alias("least"), F.max("cb").alias("most")).where("least < most")
-        mixed = scratch.table(placed.join(state.select("entry", "size", "a", "ca"), "entry"))
+        pivot = F.min(F.when(core, F.struct("b", "nb", "sb", "cb")))
+        state = placed.groupBy("entry").agg(F.count("*").alias("size"), pivot.alias("p"), F.min("cb").alias("least"), F.max("cb").alias("most")).where("least < most and p is not null")
+        state = scratch.table(state.select("entry", "size", F.col("p.b").alias("a"), F.col("p.nb").alias("na"), F.col("p.sb").alias("sa"), F.col("p.cb").alias("ca")))
+        mixed = scratch.table(placed.join(state, "entry"))
         if mixed.isEmpty():
             break
-        stars = mixed.where((F.col("size") > small) & (F.col("cb") != F.col("ca"))).select("a", "b")
-        rest = mixed.where(F.col("size") <= small)
-        left = rest.select("entry", F.col("b").alias("a"), F.col("cb").alias("ca"))
-        crossing = left.join(rest.select("entry", "b", "cb"), "entry").where("a < b and ca <> cb").select("a", "b")
-        sized = ordered(stars.union(crossing)).join(ma.select("a", "na"), "a").join(mb.select("b", "nb"), "b").where(_similar_size("na", "nb"))
-        more = scratch.table(verified(sized))
+        if turn < STARS:
+            candidates = mixed.where((F.col("cb") != F.col("ca")) & fits).select("a", "b")
+        else:
+            limit = SLOTS // 8 if turn == STARS else SLOTS
+            is_pivot = core & ((slot < limit) | (F.col("size") <= small * 8))
+            lists = mixed.groupBy("b").agg(F.sort_array(F.collect_list("entry")).alias("eb"))  # no more than a document has entries
+            members = mixed.join(lists, "b").select("entry", "b", "cb", "nb", "sb", "eb", is_pivot.alias("pivot"))
+            pivots = members.where("pivot").select("entry", F.col("b").alias("a"), F.col("cb").alias("ca"), F.col("nb").alias("na"), F.col("sb").alias("sa"), F.col("eb").alias("ea"))
+            once = F.col("entry") == F.try_element_at(F.array_intersect("ea", "eb"), F.lit(1))  # a pair in many entries comes from the first
+            candidates = pivots.join(members, "entry").where((F.col("ca") != F.col("cb")) & fits & ((F.col("a") < F.col("b")) | ~F.col("pivot")) & once).select("a", "b")
+            mixed = mixed.where(~is_pivot)
+            done = limit
+        more = scratch.table(verified(ordered(candidates)))
         if not more.isEmpty():
             links = scratch.table(links.union(more))
             found = components(links, scratch)
-        alive = scratch.table(mixed.where((F.col("size") > small) & (F.col("b") != F.col("a"))).select("entry", "b"))
+        if done >= SLOTS:
+            break
+        alive = scratch.table(mixed.where((F.col("b") != F.col("a")) if turn < STARS else F.lit(True)).select("entry", "b", "nb", "sb"))
+        turn += 1
         release(spark)
 
-    rows = index.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    narrow_index = scratch.table(index.select("doc_id", "n", "d1", "d2"))
+    for path in (index_path, hits_path, sets_path):
+        scratch.drop(path)
+    release(spark)
+    rows = narrow_index.join(classes, ["d1", "d2"], "left")
     rows = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
