@@ -150,6 +150,7 @@ def repeats(docs: DataFrame, depth: int = DEPTH, upper: int = UPPER, text: str =
     survey = scratch.table(narrow.mapInArrow(_survey(depth, upper), "doc_id long, n_words long, d1 long, d2 long, nodes array<long>"))
     long = survey.where(F.col("n_words") >= depth)
     least = long.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    least_path, least = scratch.write(least)
     copies = long.join(least.withColumnRenamed("d1", "e1").withColumnRenamed("d2", "e2"), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("doc_id") > F.col("least")), "left_semi").select("doc_id").distinct()
     copies_path, copies = scratch.write(copies)
 
@@ -170,7 +171,7 @@ def repeats(docs: DataFrame, depth: int = DEPTH, upper: int = UPPER, text: str =
     found = paths.join(deep, "path").where(F.col("doc_id") > F.col("least")).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     out = found.select("doc_id", F.lit(False).alias("is_copy"), "starts").unionByName(copies.select("doc_id", F.lit(True).alias("is_copy"), F.array().cast("array<int>").alias("starts")))
     out = scratch.table(out)
-    for path in (extended_path, copies_path, deep_path, shared_path):
+    for path in (extended_path, copies_path, deep_path, shared_path, least_path):
         scratch.drop(path)
     release(spark)
     return out
