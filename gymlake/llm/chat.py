@@ -19,9 +19,11 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
-    return conversations.where(F.col("conv_id").isNotNull()).select(
+    """Distinct turns, dealt by conversation: one shuffle of texts serves all that groups by it."""
+    turns = conversations.where(F.col("conv_id").isNotNull()).select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).distinct()
+    )
+    return turns.repartition("conv_id").distinct()
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
