@@ -196,7 +196,7 @@ def trajectory_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean similarity of all pairs of a step's samples: none gives 0, one gives 1. Samples of a step are few."""
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.substring("text", 1, 200).alias("out"))
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("out"))
     a, b = c.select("conv_id", F.col("turn").alias("i"), F.col("out").alias("x")), c.select("conv_id", F.col("turn").alias("j"), F.col("out").alias("y"))
     pairs = a.join(b, "conv_id").where("i < j").select("conv_id", sequence_similarity(F.col("x"), F.col("y")).alias("s")).groupBy("conv_id").agg(F.avg("s").alias("s"))
     n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("n"))
