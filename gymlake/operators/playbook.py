@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -80,12 +81,56 @@ EDITED = "playbook_id int, pos int, entry_id string, tag string, content string,
 _TOKEN = re.compile(r"[^\W_]+")
 
 
-def _tokens(text: str) -> set[str]:
-    return {w for w in _TOKEN.findall(text.lower()) if len(w) > 2}
+class _Contents:
+    """Token sets of the entries of a book, to find one that says the same (Jaccard similarity 0.7 or more).
 
+    Prefix filter: with the tokens of all texts in one order, rarest first, similar sets
+    share one of the first n - ceil(0.7 * n) + 1 of each. Only those are looked up.
+    """
 
-def _same(a: set[str], b: set[str]) -> bool:
-    return bool(a | b) and len(a & b) / len(a | b) >= 0.7
+    def __init__(self, texts: list[str]):
+        numbers: dict[str, int] = {}
+        sets = [array("i", {numbers.setdefault(w, len(numbers)) for w in _TOKEN.findall(t.lower()) if len(w) > 2}) for t in texts]
+        counts = [0] * len(numbers)
+        for s in sets:
+            for w in s:
+                counts[w] += 1
+        rank = [0] * len(numbers)
+        for r, w in enumerate(sorted(range(len(numbers)), key=counts.__getitem__)):
+            rank[w] = r
+        self.sets = [array("i", sorted(rank[w] for w in s)) for s in sets]
+        self.held: dict[int, int] = {}
+        self.by_token: dict[int, set[int]] = {}
+
+    def _prefix(self, text: int) -> array:
+        n = len(self.sets[text])
+        return self.sets[text][: n - (7 * n + 9) // 10 + 1] if n else self.sets[text]
+
+    def put(self, at: int, text: int) -> None:
+        """The entry at a place has the text of this number from now on."""
+        self.drop(at)
+        self.held[at] = text
+        for w in self._prefix(text):
+            self.by_token.setdefault(w, set()).add(at)
+
+    def drop(self, at: int) -> None:
+        if at in self.held:
+            for w in self._prefix(self.held.pop(at)):
+                self.by_token[w].discard(at)
+
+    def said(self, text: int) -> bool:
+        own, seen = set(self.sets[text]), set()
+        for w in self._prefix(text):
+            for at in self.by_token.get(w, ()):
+                if at in seen:
+                    continue
+                seen.add(at)
+                other = self.sets[self.held[at]]
+                if 10 * min(len(own), len(other)) >= 7 * max(len(own), len(other)):
+                    both = len(own.intersection(other))
+                    if both / (len(own) + len(other) - both) >= 0.7:
+                        return True
+        return False
 
 
 def edit_playbook(entries: list[dict], ops: list[dict]) -> tuple[list[dict], list[str]]:
@@ -94,26 +139,49 @@ def edit_playbook(entries: list[dict], ops: list[dict]) -> tuple[list[dict], lis
     An operation on an unknown entry is rejected and the rest go on. An addition
     that says what an entry already says is suppressed. A merge stands where its
     first entry stood, with the credit of all of them.
+
+    Entries are kept by place and found by id, so an operation does not scan the book.
     """
-    book, outcomes = [dict(e) for e in entries], []
-    find = lambda i: next((k for k, e in enumerate(book) if e["entry_id"] == i), None)
+    book, outcomes = {at: dict(e) for at, e in enumerate(entries)}, []
+    places_of: dict[str, list[int]] = {}
+    for at, e in book.items():
+        places_of.setdefault(e["entry_id"], []).append(at)
+    contents = None
+    if any(op.get("op") == "add" for op in ops):
+        contents = _Contents([e["content"] for e in entries] + [op.get("content") or "" for op in ops])
+        for at in book:
+            contents.put(at, at)
+    find = lambda i: min(places_of[i]) if places_of.get(i) else None
+
+    def put(at: int, entry: dict, n: int) -> None:
+        book[at] = entry
+        if contents:
+            contents.put(at, len(entries) + n)
+
+    def remove(places: list[int]) -> None:
+        for at in set(places):
+            places_of[book.pop(at)["entry_id"]].remove(at)
+            if contents:
+                contents.drop(at)
+
     for n, op in enumerate(ops):
-        kind, ids = op.get("op"), op.get("entry_ids") or []
+        kind, ids, end = op.get("op"), op.get("entry_ids") or [], len(entries) + n
         places = [find(i) for i in ids]
         if kind == "add":
-            own = _tokens(op["content"])
-            if any(_same(own, _tokens(e["content"])) for e in book):
+            if contents.said(end):
                 outcomes.append("suppressed")
                 continue
-            book.append({"entry_id": f"new-{n}", "tag": op.get("tag") or "general", "content": op["content"], "helpful": 0, "harmful": 0, "version": 1})
+            put(end, {"entry_id": f"new-{n}", "tag": op.get("tag") or "general", "content": op["content"], "helpful": 0, "harmful": 0, "version": 1}, n)
+            places_of.setdefault(f"new-{n}", []).append(end)
             outcomes.append("added")
         elif not ids or any(p is None for p in places):
             outcomes.append("rejected")
         elif kind == "update":
-            book[places[0]] |= {"content": op["content"], "version": book[places[0]]["version"] + 1}
+            e = book[places[0]]
+            put(places[0], e | {"content": op["content"], "version": e["version"] + 1}, n)
             outcomes.append("updated")
         elif kind == "remove":
-            book = [e for k, e in enumerate(book) if k not in places]
+            remove(places)
             outcomes.append("removed")
         elif kind == "merge":
             olds = [book[p] for p in places]
@@ -122,16 +190,17 @@ def edit_playbook(entries: list[dict], ops: list[dict]) -> tuple[list[dict], lis
                 "harmful": sum(e["harmful"] for e in olds), "version": max(e["version"] for e in olds) + 1,
             }
             first = min(places)
-            book = [e for k, e in enumerate(book) if k not in places]
-            book.insert(first, new)
+            remove(places)
+            put(first, new, n)
+            places_of.setdefault(f"new-{n}", []).append(first)
             outcomes.append("merged")
         else:
             outcomes.append("rejected")
-    return book, outcomes
+    return [book[at] for at in sorted(book)], outcomes
 
 
 def apply_edits(entries: DataFrame, ops: DataFrame) -> DataFrame:
-    """Edited playbooks, an entry a row, with the outcomes of the batch as JSON. A playbook, one file of rules, is one group."""
+    """Edited playbooks, an entry a row, with the outcomes of the batch as JSON in the first one. A playbook, one file of rules, is one group."""
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         before = left.sort_values("pos").to_dict("records")
@@ -139,7 +208,7 @@ def apply_edits(entries: DataFrame, ops: DataFrame) -> DataFrame:
             e |= {"entry_id": str(e["entry_id"]), "version": int(e["entry_version"])}
         batch = [r | {"entry_ids": [str(i) for i in (r["entry_ids"] if r["entry_ids"] is not None else [])]} for r in right.sort_values("batch_pos").to_dict("records")]
         book, outcomes = edit_playbook(before, batch)
-        rows = [(int(key[0]), i, e["entry_id"], e["tag"], e["content"], int(e["helpful"]), int(e["harmful"]), int(e["version"]), json.dumps(outcomes)) for i, e in enumerate(book)]
+        rows = [(int(key[0]), i, e["entry_id"], e["tag"], e["content"], int(e["helpful"]), int(e["harmful"]), int(e["version"]), None if i else json.dumps(outcomes)) for i, e in enumerate(book)]
         return pd.DataFrame(rows, columns=["playbook_id", "pos", "entry_id", "tag", "content", "helpful", "harmful", "version", "outcome"])
 
     return entries.groupBy("playbook_id").cogroup(ops.groupBy("playbook_id")).applyInPandas(run, EDITED)

@@ -197,11 +197,11 @@ def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def playbook_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of add, update, merge and remove, in order."""
+    """Batches of add, update, merge and remove, in order; each entry yields one of them."""
     e = entries(spark, sf_dir)
-    ops = e.where("entry_id < 200").select(
+    ops = e.select(
         "playbook_id", F.col("pos").alias("batch_pos"),
         F.element_at(F.array(F.lit("add"), F.lit("update"), F.lit("merge"), F.lit("remove")), (F.floor(F.col("entry_id") / 10) % 4 + 1).cast("int")).alias("op"),
-        F.when(F.col("entry_id") % 20 < 10, F.array("entry_id")).otherwise(F.array(F.col("entry_id"), F.col("entry_id") + 10)).alias("entry_ids"), "tag", F.concat(F.lit("new rule "), F.left("content", F.lit(60))).alias("content"),
+        F.when(F.col("entry_id") % 20 < 10, F.array("entry_id")).otherwise(F.array(F.col("entry_id"), F.col("entry_id") + 10)).alias("entry_ids"), "tag", F.concat(F.lit("new rule "), "content").alias("content"),
     )
     return B.apply_edits(e, ops)
