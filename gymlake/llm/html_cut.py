@@ -22,7 +22,9 @@ from html import unescape
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 SPACE = re.compile(r"\s+")
 HINT = re.compile(r"(?:class|id|role|aria-label|itemprop|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+MAY_HIDE = re.compile(r"hidden|display", re.I)
+NOT_SHOWN = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,6 +67,15 @@ class _Element:
     link: bool
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether the attribute hidden, aria-hidden="true" or style="display:none" is there; words in other values hide nothing."""
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NOT_SHOWN.search(value):
+            return True
+    return False
+
+
 def _lean(name: str, attributes: str, parent: _Element) -> tuple[float, bool]:
     """(lean towards content, whether the element is never text), with what it inherits."""
     lean, dropped = parent.lean, parent.dropped or name in DROPPED
@@ -79,7 +90,7 @@ def _lean(name: str, attributes: str, parent: _Element) -> tuple[float, bool]:
             lean -= 8.0 if name != "body" and name != "html" else 0
         elif words & CONTENT_WORD and lean > -4:
             lean += 1.5
-    if attributes and HIDDEN.search(attributes):
+    if attributes and MAY_HIDE.search(attributes) and _hidden(attributes):
         dropped = True
     return max(-20.0, min(8.0, lean)), dropped
 
