@@ -240,13 +240,45 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
             residual[j][i] = residual[j].get(i, 0.0) + flow
 
 
-#: Blocks of one graph; longer pages are cut where the least capacity crosses a point, so work stays in proportion to the page.
-GRAPH = 400
+def whole_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """`minimum_cut` of the whole graph, part by part.
+
+    A node whose cost exceeds all its edges together lies on its own side in every
+    minimum cut. It is taken out, its edges added to its neighbours' costs, which may
+    settle them too. The parts that remain have no edge between them.
+    """
+    costs, side = list(costs), [None] * len(costs)
+    near: list[dict[int, float]] = [{} for _ in costs]
+    for i, j, c in edges:
+        near[i][j] = near[i].get(j, 0.0) + c
+        near[j][i] = near[j].get(i, 0.0) + c
+    queue = deque(range(len(costs)))
+    while queue:
+        i = queue.popleft()
+        if side[i] is None and abs(costs[i]) > sum(near[i].values()) + 1e-6:
+            side[i] = costs[i] > 0
+            for j, c in near[i].items():
+                costs[j] += c if side[i] else -c
+                del near[j][i]
+                queue.append(j)
+    for start in range(len(costs)):
+        if side[start] is not None:
+            continue
+        part, number = [start], {start: 0}
+        for i in part:
+            for j in near[i]:
+                if j not in number:
+                    number[j] = len(part)
+                    part.append(j)
+        inner = [(number[i], number[j], c) for i in part for j, c in near[i].items() if i < j]
+        for i, content in zip(part, minimum_cut([costs[i] for i in part], inner), strict=True):
+            side[i] = content
+    return side
 
 
 def label(blocks: list[Block]) -> list[bool]:
     content_costs(blocks)
-    n, near, last_of = len(blocks), [], {}
+    near, last_of = [], {}
     for i, b in enumerate(blocks):
         if i:
             near.append((i - 1, i, closeness(blocks[i - 1], b)))
@@ -255,15 +287,7 @@ def label(blocks: list[Block]) -> list[bool]:
             if j is not None and j < i - 1:
                 near.append((j, i, 0.5 * closeness(blocks[j], b)))
             last_of[parent] = i
-    if n <= GRAPH:
-        return minimum_cut([b.cost for b in blocks], near)
-    out: list[bool] = []
-    for lo in range(0, n, GRAPH):
-        hi, context = min(n, lo + GRAPH), 50
-        left, right = max(0, lo - context), min(n, hi + context)
-        part = minimum_cut([b.cost for b in blocks[left:right]], [(i - left, j - left, c) for i, j, c in near if left <= i and j < right])
-        out.extend(part[lo - left : hi - left])
-    return out
+    return whole_cut([b.cost for b in blocks], near)
 
 
 def main_text(html: str | None) -> str:
