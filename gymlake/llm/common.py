@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/gymlake-shared"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
@@ -60,9 +65,29 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def trim() -> None:
+    """Give memory that Python has freed back to the system, so that it does not add up over the stages of a process."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back this way
+        pass
+
+
+def tidy(run):
+    """A function of Arrow batches that gives its memory back when it ends; workers are reused by later stages."""
+
+    def and_trim(batches):
+        yield from run(batches)
+        trim()
+
+    return and_trim
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner delete the shuffle files of finished phases now."""
     gc.collect()
+    trim()
     spark._jvm.System.gc()
 
 
@@ -70,6 +95,19 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches small, so that long texts do not add up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+#: Rows and bytes of an Arrow batch, at most; a single longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Keep Arrow batches small in rows and bytes, so that long texts do not add up in a Python worker.
+
+    Spark takes the limits from the session when it plans a query, so they are set there. They are only ever lowered,
+    and change no result.
+    """
+    for name, limit in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get(key).lower()).groups()
+        now = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit[:1], 0)
+        if now <= 0 or now > limit:
+            spark.conf.set(key, str(limit))
