@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -88,8 +89,8 @@ def test_apportion_equals_seat_by_seat(votes, seats):
     got = mixing.apportion(np.array(votes), seats)
     want = plain_sainte_lague(votes, seats) if sum(votes) else [0] * len(votes)
     assert got.sum() == sum(want)
-    ratio = lambda a: sorted(v / (2 * x - 1) for v, x in zip(votes, a, strict=True) if x)
-    assert got.tolist() == want or np.allclose(ratio(got)[:1], ratio(want)[:1])
+    quotients = lambda a: sorted(Fraction(v, 2 * k + 1) for v, x in zip(votes, a, strict=True) for k in range(x))
+    assert quotients(got.tolist()) == quotients(want)  # the same seats; ties may go to others
 
 
 def test_targets_reshare_excess():
@@ -112,10 +113,34 @@ def test_mix_hits_targets_and_limits(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mix_of_many_sources_and_one_source(spark):
+    """Sources beyond what the driver takes, and one source of all rows over many shards and buckets."""
+    rng = random.Random(12)
+    df = docs(spark, [doc(i, " ".join(["w"] * rng.choice([1, 30, 200])), rng.choice(["a", "b", "c", "ü", None])) for i in range(400)])
+    near, far = (mixing.mix(df, driver_sources=n).toPandas().sort_values("doc_id") for n in (100, 2))
+    assert np.allclose(near.target, far.target) and abs(near.taken.sum() - far.taken.sum()) <= mixing.BLOCK * 5
+    by = far.groupby("source_size").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(by.taken - by.target) <= mixing.BLOCK * 2).all()
+    one = mixing.mix(docs(spark, [doc(i, "a b\nc " * 8, "s") for i in range(4000)])).toPandas()
+    assert one.taken.sum() == 4000 * 24 and one._shard.nunique() == 4
+
+
+def test_mix_keeps_lines(spark):
+    df = docs(spark, [doc(i, "\n".join(f"a{k} b{k}" for k in range(40)), "ab"[i % 2]) for i in range(6)])
+    for r in mixing.apply_mix(df).collect():
+        assert all(len(line.split()) <= 2 for line in r["text"].split("\n"))
+    assert mixing.apply_mix(df.limit(0)).count() == 0
+
+
 def test_apply_mix_has_the_words_taken(spark):
     df = docs(spark, [doc(i, " ".join(f"t{i}_{k}" for k in range(i % 13)), "abc"[i % 3]) for i in range(200)])
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix(df).collect()}
     out = mixing.apply_mix(df).collect()
+    for r in mixing.mix(df).collect():  # the words of the shard's run, from _skip on and round
+        if r["taken"]:
+            text, n = next(x["text"] for x in out if x["doc_id"] == r["doc_id"]), r["size"]
+            want = [f"t{r['doc_id']}_{k}" for k in [*range(n)] * (r["taken"] // n) + [(r["_skip"] + k) % n for k in range(r["taken"] % n)]]
+            assert text.split() == want
     assert {r["doc_id"]: len(r["text"].split()) for r in out} == {i: n for i, n in taken.items() if n}
     assert out[0].asDict().keys() == dict.fromkeys(df.columns).keys()
 
