@@ -13,10 +13,12 @@ pairs of frequent ones, and nothing is lost. The number of classes goes with the
 size band of the pair (a factor of 4); a set near the upper end of a band also
 enters the next one. Sets under 64 tokens index single tokens only.
 
-Which tokens are frequent is counted over all documents. Counting ships sorted,
-delta-coded 40-bit digests, about 3 bytes a token. At most MAX_FREQUENT tokens
-are called frequent, which bounds what is broadcast; any choice gives the same
-links, it only changes how many candidates are checked.
+Which tokens are frequent is counted over all documents: a task counts its own
+tokens first and ships sorted, delta-coded 40-bit digests, about 3 bytes a token,
+so a token of every document is one entry a flush. Frequent tokens are ordered
+by the logarithm of their count, so the commonest come last and seldom lie in a
+prefix. Up to MAX_FREQUENT of them are broadcast; beyond, their occurrences are
+found by a join, with the same index as result.
 
 Candidates of an index entry with up to SMALL documents are all its pairs,
 filtered by size and, where both prefixes are of rare tokens, by the number of
@@ -33,25 +35,26 @@ between components is missed. Every candidate is verified on the full sets.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import Scratch, bounded_batches, release
+from gymlake.llm.common import Scratch, bounded_batches, release, tidy
 from gymlake.llm.components import components
 from gymlake.llm.kernel import LOWER, U, Words, chunks, mix, mix_int, powers, signed, windows
 
 SHINGLE = 5
 RARE_MOST = 24
 SMALL = 32
+#: Up to this many frequent tokens (9 bytes each) are broadcast.
 MAX_FREQUENT = 1_000_000
 FIRST_BAND = 64
 COUNT_BITS = 40
-FLUSH = 4_000_000
+FLUSH = 1_000_000
+BUCKET_BYTES = 16 << 20
 STARS, SLOTS = 1, 960
 #: Tables of ids with no more rows than this are broadcast; longer ones are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -84,14 +87,17 @@ def classes_of(band: int) -> int:
     return FIRST_BAND * 4 ** (band - 1) // 8
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int, bool]:
-    """(index entries, tokens in the prefix that no frequent entry stands for, whether all entries are single rare tokens) of a sorted set."""
+def signatures(tokens: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, int, bool]:
+    """(index entries, tokens in the prefix that no frequent entry stands for, whether all entries are single rare tokens) of a sorted set.
+
+    grade: of each token, 0 if it is rare, else higher the commoner it is.
+    """
     n = len(tokens)
     need = allowed(n) + 1
-    rare = tokens[~frequent]
+    rare = tokens[grade == 0]
     if len(rare) >= need:
         return rare[:need], need, True
-    often, entries = tokens[frequent], [rare]
+    often, entries = tokens[np.argsort(grade, kind="stable")[len(rare) :]], [rare]
     for band in {band_of(n), band_of(n * 5 // 4)}:
         tag = U(mix_int(1000 + band))
         if band == 0:
@@ -122,17 +128,17 @@ def _count(buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
     def flush(held):
-        x = np.sort(np.concatenate(held) >> shift)
+        x, n = np.unique(np.concatenate(held) >> shift, return_counts=True)
         owner = (x >> U(COUNT_BITS - bits)).astype(np.int32)
         cuts = np.searchsorted(owner, np.arange(buckets + 1))
         names, blobs = [], []
-        for b in range(buckets):
-            own = x[cuts[b] : cuts[b + 1]]
-            if len(own):
-                gaps = np.diff(own, prepend=U(0)).astype("<u8")
-                width = max(1, -(-int(gaps.max()).bit_length() // 8))
-                names.append(b)
-                blobs.append(bytes([width]) + gaps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())  # byte planes
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            own, counts = x[cuts[b] : cuts[b + 1]], n[cuts[b] : cuts[b + 1]]
+            gaps, many = np.diff(own, prepend=U(0)).astype("<u8"), np.flatnonzero(counts > 1)
+            width = max(1, -(-int(gaps.max()).bit_length() // 8))
+            planes = gaps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+            names.append(b)
+            blobs.append(np.array([width, len(own)], "<u4").tobytes() + planes + np.concatenate([many, counts[many]]).astype("<u4").tobytes())
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
     def run(batches):
@@ -148,64 +154,85 @@ def _count(buckets: int):
         if n:
             yield flush(held)
 
-    return run
+    return tidy(run)
+
+
+def _read_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width, n = np.frombuffer(blob, "<u4", 2).tolist()
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :width] = np.frombuffer(blob, np.uint8, width * n, 8).reshape(width, n).T
+    many, counts = np.frombuffer(blob, "<u4", offset=8 + width * n).reshape(2, -1)
+    out = np.ones(n, np.int64)
+    out[many] = counts
+    return np.cumsum(gaps.view("<u8").ravel()), out
 
 
 def _merge(least: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for blob in pdf["blob"]:
-            planes = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
-            gaps = np.zeros((planes.shape[1], 8), np.uint8)
-            gaps[:, : blob[0]] = planes.T
-            parts.append(np.cumsum(gaps.view("<u8").ravel()))
-        token, count = np.unique(np.concatenate(parts), return_counts=True)
-        often = count > least
-        return pd.DataFrame({"token": token[often].astype(np.int64), "n": count[often].astype(np.int64)})
+    """Of a bucket's blobs, the tokens that more than `least` documents hold. A token is there once a flush, however many documents hold it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_read_counts(blob.as_py()) for blob in table.column("blob")]
+        token, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(token, kind="stable")
+        token, n = token[order], n[order]
+        begin = np.flatnonzero(np.diff(token, prepend=token[:1] + U(1)))
+        token, n = token[begin], np.add.reduceat(n, begin)
+        often = n > least
+        return pa.table({"token": pa.array(token[often].astype(np.int64)), "n": pa.array(n[often])})
 
     return run
 
 
-def frequent_tokens(narrow: DataFrame, scratch: Scratch, least: int = RARE_MOST, most: int = MAX_FREQUENT) -> tuple[np.ndarray, int]:
-    """(sorted 40-bit digests, threshold): the tokens that more than `threshold` documents hold, at most `most`."""
+def frequent_tokens(narrow: DataFrame, scratch: Scratch, least: int = RARE_MOST) -> DataFrame:
+    """(token, n), written: the 40-bit digests of the tokens that more than `least` documents hold."""
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, 1 << int(size // (32 << 20)).bit_length())
-    counted = narrow.select("text").mapInArrow(_count(buckets), "bucket int, blob binary").groupBy("bucket").applyInPandas(_merge(least), "token long, n long")
-    path, counted = scratch.write(counted)
-    steps = (F.log2("n") * 8).cast("int")
-    by_step = sorted((r["step"], r["tokens"]) for r in counted.groupBy(steps.alias("step")).agg(F.count("*").alias("tokens")).collect())  # a few hundred rows at most
-    cut, left = -1, sum(t for _, t in by_step)
-    for step, tokens in by_step:
-        if left <= most:
-            break
-        cut, left = step, left - tokens
-    kept = counted.where(steps > cut).select("token").toPandas()["token"].to_numpy() if left else np.empty(0, np.int64)
-    threshold = least if cut < 0 else int(2 ** ((cut + 1) / 8)) + 1
-    scratch.drop(path)
-    return np.sort(kept).astype(np.uint64), threshold
+    buckets = max(64, 1 << int(size // BUCKET_BYTES).bit_length())
+    return scratch.table(narrow.select("text").mapInArrow(_count(buckets), "bucket int, blob binary").groupBy("bucket").applyInArrow(_merge(least), "token long, n long"))
+
+
+def _grade(n: np.ndarray) -> np.ndarray:
+    return (np.log2(n) * 4).astype(np.uint8) + np.uint8(1)
+
+
+def _occurrences(batches):
+    """(doc_id, token) of all distinct tokens, as 40-bit digests."""
+    for batch in batches:
+        for lo, hi, data, offsets in chunks(batch.column(1), 256 << 10):
+            sets = [np.unique(s >> U(64 - COUNT_BITS)) for s in shingle_sets(data, offsets)]
+            ids = np.repeat(np.asarray(batch.column(0).slice(lo, hi - lo)), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).astype(np.int64))], ["doc_id", "token"])
 
 
-def _index(shared):
+def _index(shared=None):
+    """Index entries of each document. shared: sorted frequent tokens and their grades; else they stand in columns 2 and 3."""
     types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     schema = pa.schema(list(zip(("doc_id", "n", "slack", "pure", "d1", "d2", "entries"), types, strict=True)))
 
+    def grades(tokens: np.ndarray, often: np.ndarray, grade: np.ndarray) -> np.ndarray:
+        if not len(often) or not len(tokens):
+            return np.zeros(len(tokens), np.uint8)
+        short = tokens >> U(64 - COUNT_BITS)
+        at = np.minimum(np.searchsorted(often, short), len(often) - 1)
+        return np.where(often[at] == short, grade[at], np.uint8(0))
+
+    def own(batch, row):
+        if not batch.column(2)[row].is_valid:
+            return np.empty(0, np.uint64), np.empty(0, np.uint8)
+        often, n = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in (2, 3))
+        order = np.argsort(often)
+        return often[order].astype(np.uint64), _grade(n[order])
+
     def run(batches):
-        often, shift = shared.value, U(64 - COUNT_BITS)
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 sets = shingle_sets(data, offsets)
-                sizes = np.array([len(s) for s in sets])
                 flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                if len(often):
-                    short = flat >> shift
-                    is_often = often[np.minimum(np.searchsorted(often, short), len(often) - 1)] == short
-                else:
-                    is_often = np.zeros(len(flat), bool)
+                grade = grades(flat, *shared.value) if shared else np.concatenate([grades(s, *own(batch, lo + d)) for d, s in enumerate(sets)])
                 rows, begin, other = [], 0, mix(flat ^ U(0x243F6A8885A308D3))
-                for n in sizes:
+                for tokens in sets:
+                    n = len(tokens)
                     end = begin + n
-                    tokens = flat[begin:end]
-                    entries, prefix, pure = signatures(tokens, is_often[begin:end]) if n else (tokens, 0, True)
+                    entries, prefix, pure = signatures(tokens, grade[begin:end]) if n else (tokens, 0, True)
                     digests = mix(np.array([tokens.sum(dtype=np.uint64), other[begin:end].sum(dtype=np.uint64)], np.uint64) ^ U(n))
                     rows.append((int(n), int(n - prefix), pure, *signed(digests).tolist(), signed(entries)))
                     begin = end
@@ -214,7 +241,22 @@ def _index(shared):
                 lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(columns[-1])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x, t) for x, t in zip(columns[:-1], types[1:-1], strict=True)), lists], schema=schema)
 
-    return run
+    return tidy(run)
+
+
+INDEX = "doc_id long, n long, slack long, pure boolean, d1 long, d2 long, entries array<long>"
+
+
+def indexed(narrow: DataFrame, frequent: DataFrame, most: int = MAX_FREQUENT) -> DataFrame:
+    """Index entries of each row of narrow (doc_id, text), with the frequent tokens broadcast if there are at most `most`, else joined."""
+    if frequent.count() <= most:
+        got = frequent.toPandas().sort_values("token")
+        shared = narrow.sparkSession.sparkContext.broadcast((got["token"].to_numpy().astype(np.uint64), _grade(got["n"].to_numpy())))
+        return narrow.mapInArrow(_index(shared), INDEX)
+    found = narrow.where("doc_id is not null").mapInArrow(_occurrences, "doc_id long, token long").join(frequent, "token")
+    lists = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("token", "n"))).alias("found"))  # no more than a document has tokens
+    joined = narrow.join(lists, "doc_id", "left").select("doc_id", "text", F.col("found.token").alias("often"), F.col("found.n").alias("n"))
+    return joined.mapInArrow(_index(), INDEX)
 
 
 def _sets(batches):
@@ -234,7 +276,7 @@ def light(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", small: int = SMALL, rare_most: int = RARE_MOST) -> DataFrame:
+def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", small: int = SMALL, rare_most: int = RARE_MOST, max_frequent: int = MAX_FREQUENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable by links).
 
     Documents link when 100 * |intersection| >= 80 * |union| of their shingle
@@ -246,10 +288,8 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", sma
     bounded_batches(spark)
     scratch = Scratch(spark)
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    often, threshold = frequent_tokens(narrow, scratch, rare_most)
+    index_path, index = scratch.write(indexed(narrow, frequent_tokens(narrow, scratch, min(rare_most, small)), max_frequent))
     release(spark)
-    shared = spark.sparkContext.broadcast(often)
-    index_path, index = scratch.write(narrow.mapInArrow(_index(shared), "doc_id long, n long, slack long, pure boolean, d1 long, d2 long, entries array<long>"))
     some = index.where("n > 0 and doc_id is not null")
     classes = scratch.table(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     kept = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
@@ -266,26 +306,26 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", sma
     release(spark)
 
     few, many = hits.where(F.col("size") <= small), hits.where(F.col("size") > small)
-    exact_counts = threshold <= small  # then entries of rare tokens are small, and `shared` counts every rare token that two prefixes share
+    # entries of rare tokens are small (rare_most <= small), so `shared` counts every rare token that two prefixes share
     sized = scratch.table(few.join(meta, "doc_id").select("entry", "doc_id", "n", "slack", "pure"))
     a, b = (sized.select("entry", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("slack").alias(f"s{x}"), F.col("pure").alias(f"p{x}")) for x in "ab")
     own = [F.first(f"{c}{x}").alias(f"{c}{x}") for c in "nsp" for x in "ab"]
     pairs = a.join(b, "entry").where((F.col("a") < F.col("b")) & _similar_size("na", "nb")).groupBy("a", "b").agg(F.count("*").alias("shared"), *own)
-    if exact_counts:  # what a pair may share besides: tokens after the prefix that ends first, or frequent ones
-        beyond = F.when(~F.col("pa") & ~F.col("pb"), F.least("sa", "sb")).when(F.col("pa") & F.col("pb"), F.greatest("sa", "sb")).when(F.col("pa"), F.col("sa")).otherwise(F.col("sb"))
-        pairs = pairs.where(9 * (F.col("shared") + beyond) >= 4 * (F.col("na") + F.col("nb")))
+    # what a pair may share besides: tokens after the prefix that ends first, or frequent ones
+    beyond = F.when(~F.col("pa") & ~F.col("pb"), F.least("sa", "sb")).when(F.col("pa") & F.col("pb"), F.greatest("sa", "sb")).when(F.col("pa"), F.col("sa")).otherwise(F.col("sb"))
+    pairs = pairs.where(9 * (F.col("shared") + beyond) >= 4 * (F.col("na") + F.col("nb")))
     pairs = scratch.table(pairs.select("a", "b"))
     # Pairs of large entries that share a rare token are among the above; the others share frequent tokens alone, so both must be nearly made of
     # such, and the smaller one almost wholly ("core").
     large = many.join(meta.select("doc_id", "n", "slack"), "doc_id").select("entry", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("slack").alias("sb"))
-    core = (9 * F.col("sb") >= 8 * F.col("nb")) if exact_counts else F.lit(True)
-    fits = _similar_size("na", "nb") & ((9 * F.least("sa", "sb") >= 4 * (F.col("na") + F.col("nb"))) if exact_counts else F.lit(True))
+    core = 9 * F.col("sb") >= 8 * F.col("nb")
+    fits = _similar_size("na", "nb") & (9 * F.least("sa", "sb") >= 4 * (F.col("na") + F.col("nb")))
     first = large.where(core).groupBy("entry").agg(F.min(F.struct("b", "nb", "sb")).alias("p"))
     first = scratch.table(first.select("entry", F.col("p.b").alias("a"), F.col("p.nb").alias("na"), F.col("p.sb").alias("sa")))
     large = scratch.table(large.join(first, "entry"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select(F.col("b").alias("doc_id"))).distinct()
     wanted = scratch.table(wanted)
-    sets_path, sets = scratch.write(narrow.join(light(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, tokens array<long>"))
+    sets_path, sets = scratch.write(narrow.join(light(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(tidy(_sets), "doc_id long, tokens array<long>"))
     release(spark)
 
     def verified(candidates: DataFrame) -> DataFrame:

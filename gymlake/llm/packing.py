@@ -11,8 +11,9 @@ same as that of piece-by-piece best-fit decreasing, and its size depends on the
 sequence size alone.
 
 Tokenizing uses the given public tokenizer. White space separates its words, so
-each distinct word is encoded once per worker; a bounded table of ids, keyed by
-the word's 64-bit digest, serves the rest by array lookups.
+a worker need not encode a word it has met: a table of ids, keyed by the word's
+64-bit digest, serves it by array lookups. The table is bounded in bytes; when it
+is full, words that were not met again since they came in leave it.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import Scratch, bounded_batches
+from gymlake.llm.common import Scratch, bounded_batches, tidy
 from gymlake.llm.kernel import Words, chunks
 
 SEQUENCE = 4096
 END_ID = 2
-MAX_WORDS = 3_000_000
+#: Bytes of a worker's table of word ids, at most. It changes how often a word is encoded, never its ids.
+TABLE_BYTES = 16 << 20
 
 
 def default_tokenizer() -> str:
@@ -40,24 +42,36 @@ def default_tokenizer() -> str:
 
 
 class WordIds:
-    """Ids of words by digest: sorted keys into one flat array of ids. Emptied when it holds MAX_WORDS words."""
+    """Ids of words by digest: sorted keys into one flat array of ids, of at most `limit` bytes between two chunks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = TABLE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = "\x01"
+        self.limit, self.mark = limit, "\x01"
         ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = ids[0] if len(ids) == 1 else None
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
-        self.begin = np.empty(0, np.int64)
-        self.size = np.empty(0, np.int64)
+        self.begin = np.empty(0, np.int32)
+        self.size = np.empty(0, np.int32)
+        self.again = np.empty(0, bool)  # met again since it came in, or since the table was last full
         self.ids = np.empty(0, np.uint32)
 
+    def _keep(self, which: np.ndarray) -> None:
+        sizes, begins = self.size[which], self.begin[which]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        self.ids = self.ids[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        self.keys, self.size, self.begin, self.again = self.keys[which], sizes, ends - sizes, np.zeros(len(which), bool)
+
+    def _bound(self) -> None:
+        for which in (self.again, np.zeros(len(self.keys), bool)):
+            if 17 * len(self.keys) + 4 * len(self.ids) > self.limit:
+                self._keep(np.flatnonzero(which))
+
     def encode(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word: many words in one text, told apart by a mark that is one id of its own."""
         if self.mark_id is None or any(self.mark in w for w in words):
@@ -79,27 +93,24 @@ class WordIds:
         """(ids of all words in a row, number of ids of each word)."""
         if not len(words):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
+        self._bound()
         found, sample, at = np.unique(words.digests(), return_index=True, return_inverse=True)
-        slot = np.searchsorted(self.keys, found)
-        slot_ = np.minimum(slot, max(len(self.keys) - 1, 0))
-        known = (self.keys[slot_] == found) if len(self.keys) else np.zeros(len(found), bool)
+        slot = np.minimum(np.searchsorted(self.keys, found), max(len(self.keys) - 1, 0))
+        known = (self.keys[slot] == found) if len(self.keys) else np.zeros(len(found), bool)
+        self.again[slot[known]] = True
         if not known.all():
             raw, new = words.data.tobytes(), np.flatnonzero(~known)
             fresh = self.encode([raw[words.starts[i] : words.ends[i]].decode("utf-8", "replace") for i in sample[new]])
-            if len(self.keys) + len(new) > MAX_WORDS:
-                keep_keys, keep = found[known], slot_[known]
-                sizes, begins = self.size[keep], self.begin[keep]
-                index = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                self.ids, self.keys, self.size, self.begin = self.ids[index], keep_keys, sizes, np.cumsum(sizes) - sizes
-            sizes = np.array([len(x) for x in fresh], np.int64)
-            begins = len(self.ids) + np.cumsum(sizes) - sizes
+            sizes = np.array([len(x) for x in fresh], np.int32)
+            begins = len(self.ids) + np.cumsum(sizes, dtype=np.int32) - sizes
             self.ids = np.concatenate([self.ids, *fresh])
             keys = np.concatenate([self.keys, found[new]])
             order = np.argsort(keys, kind="stable")
-            self.keys, self.begin, self.size = keys[order], np.concatenate([self.begin, begins])[order], np.concatenate([self.size, sizes])[order]
-            slot_ = np.searchsorted(self.keys, found)
-        begin, size = self.begin[slot_][at], self.size[slot_][at]
-        index = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            self.keys, self.begin, self.size, self.again = keys[order], np.concatenate([self.begin, begins])[order], np.concatenate([self.size, sizes])[order], np.append(self.again, np.zeros(len(new), bool))[order]
+            slot = np.searchsorted(self.keys, found)
+        begin, size = self.begin[slot][at], self.size[slot][at]
+        ends = np.cumsum(size, dtype=np.int64)
+        index = np.repeat(begin - (ends - size), size) + np.arange(ends[-1])
         return self.ids[index], size
 
 
@@ -138,7 +149,7 @@ def _pieces(path: str, sequence: int, end_id: int):
                         seen[len(piece)] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
 
-    return run
+    return tidy(run)
 
 
 class CapacityTree:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gymlake.llm.common import bounded_batches
+from gymlake.llm.common import bounded_batches, tidy, trim
 from gymlake.llm.kernel import LOWER, SPACE, U, Words, chunks, mix, mix_int, powers
 
 SAMPLE, SAMPLE_CHARS = 4000, 100_000
@@ -106,14 +106,14 @@ def _pool(vectors: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 
 def pooled(vectors: np.ndarray, texts: pa.Array) -> np.ndarray:
-    parts = [_pool(vectors, data, offsets) for _, _, data, offsets in chunks(texts, 1 << 20)]
+    parts = [_pool(vectors, data, offsets) for _, _, data, offsets in chunks(texts, 256 << 10)]
     return np.concatenate(parts) if parts else np.zeros((0, 3 * vectors.shape[1] + 1), np.float32)
 
 
 def _context_vectors(texts: pa.Array) -> np.ndarray:
     index = index_vectors()
     gathered = np.zeros_like(index)
-    for _, _, data, offsets in chunks(texts, 1 << 20):
+    for _, _, data, offsets in chunks(texts, 256 << 10):
         words = Words(data, offsets)
         if len(words) < 2:
             continue
@@ -203,7 +203,9 @@ def folds(remainder: int, modulus: int, column: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labels outside the held-out fold (crc32 of doc_id mod 4 is 2)."""
-    return fit(*labelled_sample(docs, labels, "quality", ~folds(2, 4)))
+    model = fit(*labelled_sample(docs, labels, "quality", ~folds(2, 4)))
+    trim()
+    return model
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -219,7 +221,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score_texts(shared.value, batch.column(2)), pa.float64())], ["doc_id", "held_out", "score"])
 
     held = F.coalesce(folds(2, 4), F.lit(False))
-    out = docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    out = docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -234,4 +236,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             yield batch.filter(pa.array(score_texts(shared.value, batch.column(at)) >= threshold))
 
     names = [f"_{i}" for i in range(len(docs.columns))]
-    return docs.toDF(*names).mapInArrow(run, docs.toDF(*names).schema).toDF(*docs.columns)
+    return docs.toDF(*names).mapInArrow(tidy(run), docs.toDF(*names).schema).toDF(*docs.columns)

@@ -83,11 +83,12 @@ def made_texts(n, seed, vocabulary=40):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substring_removal_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,group", [(1, 250_000), (2, 40), (3, 3)])
+def test_substring_removal_equals_brute_force(spark, seed, group):
+    """Also where groups exceed their budget, so that prefixes are extended and single paths split."""
     rows = made_texts(60, seed) + [(500, None), (501, ""), (502, " \n "), (None, "w1 w2 " * 20)]
     rows += [(600 + k, rows[0][1] + " w1" * 12) for k in range(5)] + [(700, "w1 " * 40)]
-    got = substring.remove_repeats(table(spark, rows), depth=10).collect()
+    got = substring.remove_repeats(table(spark, rows), depth=10, group=group).collect()
     assert sorted([tuple(r) for r in got], key=repr) == brute_removal(rows, 10)
 
 
@@ -99,6 +100,27 @@ def test_substring_removal_keeps_columns_and_clean_texts(spark):
     assert got[2]["n_chars"] == 0 and got[3]["n_chars"] == 10
 
 
+def test_internal_nodes_are_runs_that_part_below():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(1, 30))
+        rows = sorted(tuple(x) for x in rng.integers(0, 3, (n, 3)).tolist())
+        got = substring.internal_nodes([np.array([r[k] for r in rows]) for k in range(3)])
+        for depth in range(1, 4):
+            want = []
+            for prefix in sorted({r[:depth] for r in rows}):
+                own = [i for i, r in enumerate(rows) if r[:depth] == prefix]
+                if len(own) > 1 and (depth == 3 or len({rows[i][: depth + 1] for i in own}) > 1):
+                    want.append((own[0], own[-1] + 1))
+            assert list(zip(*(x.tolist() for x in got[depth - 1]), strict=True)) == want
+
+
+def test_maximal_runs_join_windows_that_touch():
+    got = substring.maximal_runs(np.array([5, 5, 5, 7, 5]), np.array([3, 1, 40, 0, 2], np.int32), 10).to_pylist()
+    assert got == [{"doc_id": 5, "begins": [1, 40], "ends": [13, 50]}, {"doc_id": 7, "begins": [0], "ends": [10]}]
+    assert substring.maximal_runs(np.empty(0, np.int64), np.empty(0, np.int32), 10).num_rows == 0
+
+
 def test_substring_of_empty_table(spark):
     assert substring.remove_repeats(table(spark, [])).count() == 0
 
@@ -153,6 +175,29 @@ def test_join_equals_brute_force(spark, small, rare_most):
     assert sorted(tuple(r) for r in got) == brute_groups(rows)
 
 
+def test_join_with_more_frequent_tokens_than_are_broadcast(spark):
+    rows = [(i, f"in every document of all {t}") for i, t in near_copies(5, groups=4, size=10, length=40)]
+    got = ngram_join.similar_groups(table(spark, rows), small=4, rare_most=3, max_frequent=10).collect()
+    assert sorted(tuple(r) for r in got) == brute_groups(rows)
+
+
+def test_frequent_tokens_are_counted_over_all_tasks(spark):
+    rows = [(i, "a b c d e " + (f"x{i} y z w v" if i % 2 else "")) for i in range(300)]
+    narrow = table(spark, rows).select("doc_id", "text").repartition(7)
+    counts = sorted(r["n"] for r in ngram_join.frequent_tokens(narrow, ngram_join.Scratch(spark)).collect())
+    assert counts == [300]
+
+
+def test_word_table_keeps_its_ids_when_it_is_full():
+    whole, tight = packing.WordIds(packing.default_tokenizer()), packing.WordIds(packing.default_tokenizer(), limit=2000)
+    rng = random.Random(6)
+    for _ in range(30):
+        texts = [" ".join(f"{rng.choice(['common', 'Wörter', 'mixed'])}{rng.randint(0, 40) ** 2}" for _ in range(50)) for _ in range(3)]
+        words = Words(*column_bytes(pa.array(texts)))
+        (a, n), (b, m) = whole.look_up(words), tight.look_up(words)
+        assert a.tolist() == b.tolist() and n.tolist() == m.tolist()
+
+
 def test_join_edge_cases(spark):
     assert ngram_join.similar_groups(table(spark, [])).count() == 0
     got = ngram_join.similar_groups(table(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (2, "A b")])).collect()
@@ -172,7 +217,7 @@ def test_prefixes_of_similar_sets_share_an_entry():
             if len(np.intersect1d(base, other)) * 5 < 4 * len(np.union1d(base, other)):
                 continue
             often = rng.random() < 0.5
-            flag = (lambda x: np.ones(len(x), bool)) if often else (lambda x: x % np.uint64(7) > 0)  # noqa: B023
+            flag = (lambda x: (x % np.uint64(5)).astype(np.uint8) + 1) if often else (lambda x: (x % np.uint64(7)).astype(np.uint8))  # noqa: B023
             a, b = ngram_join.signatures(base, flag(base))[0], ngram_join.signatures(other, flag(other))[0]
             assert len(np.intersect1d(a, b)), n
 
