@@ -1,17 +1,19 @@
 """Risk-controlled quality rules, in DataFrame operations only.
 
 Each rule rejects a document whose feature lies above a cutoff. A cutoff is not
-chosen by hand: on labelled documents, within each stratum, cutoffs are tested
-from the mildest on. The test of a cutoff is exact: with k of n good documents
-rejected, P(X <= k) for X ~ Binomial(n, risk) must be at most the level, which
-proves the false-rejection rate to be under the risk (the Clopper-Pearson bound).
-The sequence stops at the first cutoff that fails, so one level serves a whole
-sequence; the levels of all rules and strata add up to DELTA (Bonferroni), and
-the risks of the rules of one stratum add up to RISK. With probability 1 - DELTA
-no stratum loses more than RISK of its good documents to these rules. A stratum
-with too few labels gets no cutoff and loses none.
-
-Strata are bands of length, four at any scale.
+chosen by hand: on labelled documents, within each stratum, a fixed sequence of
+settings is tested. It goes through the rules in the order given and through each
+rule's cutoffs from the mildest on, keeping what earlier rules have reached. The
+test of a setting is exact: with k of n good documents rejected by any rule of
+it, P(X <= k) for X ~ Binomial(n, RISK) must be at most the level, which proves
+the false-rejection rate to be under RISK (the Clopper-Pearson bound). A sequence
+stops at the first setting that fails, so one level serves it whole, and the
+levels of the strata add up to DELTA (Bonferroni). With probability 1 - DELTA no
+stratum loses more than RISK of its good documents to these rules. A stratum
+needs ln(level) / ln(1 - RISK), that is 122, good labels to get a cutoff; with
+fewer it loses none.
+
+Strata are bands of length, two at any scale.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 RISK, DELTA = 0.03, 0.05
-STRATA = (50, 200, 1000)  # a document's stratum: how many of these its word count reaches
-#: rule: cutoffs from mild to strict. Features are shares or counts per word.
+STRATA = (200,)  # a document's stratum: how many of these its word count reaches
+#: rule: cutoffs from mild to strict, in the order of the tests. Features are shares or counts per word.
 RULES = {
     "symbols_per_word": (3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2),
-    "dup_line_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2),
     "repeat_share": (0.3, 0.28, 0.26, 0.24, 0.22, 0.2, 0.18, 0.16, 0.14, 0.12, 0.1),
+    "dup_line_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2),
 }
 
 
@@ -89,19 +91,25 @@ def _ready(docs: DataFrame, text: str, key: str) -> DataFrame:
     )
 
 
+def settings() -> list[tuple[int, str, float, str]]:
+    """(step, rule, cutoff, condition): the sequence of tests; condition: any rule of the setting rejects."""
+    out, before = [], []
+    for rule, cuts in RULES.items():
+        out += [(rule, cut, " or ".join([*before, f"{rule} > {cut}"])) for cut in cuts]
+        before.append(f"{rule} > {cuts[-1]}")
+    return [(step, *x) for step, x in enumerate(out)]
+
+
 def cutoffs(good: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest cutoff whose sequence of tests holds; good: features of good documents.
+    """(stratum, rule, cutoff): the last cutoff of each rule that the sequence of tests reaches; good: features of good documents.
 
     One partial aggregate counts all cutoffs at once; what follows has a row per stratum, rule and cutoff.
     """
-    tests = [(rule, step, cut, f"k_{rule}_{step}") for rule, cuts in RULES.items() for step, cut in enumerate(cuts)]
-    counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(rule) > cut).alias(name) for rule, _, cut, name in tests])
-    each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(step).alias("step"), F.lit(cut).alias("cutoff"), F.col(name).alias("k")) for rule, step, cut, name in tests]))
+    counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.expr(rejects)).alias(f"k_{step}") for step, _, _, rejects in settings()])
+    each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(step).alias("step"), F.lit(cut).alias("cutoff"), F.col(f"k_{step}").alias("k")) for step, rule, cut, _ in settings()]))
     rows = counts.select("stratum", "n", each.alias("x")).select("stratum", "n", "x.*")
-    share = risk / len(RULES)
-    level = delta / (len(RULES) * (len(STRATA) + 1))
-    passes = (F.col("k") < share * F.col("n")) & (binomial_tail(F.col("k"), F.col("n"), share) <= level)
-    w = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    passes = (F.col("k") < risk * F.col("n")) & (binomial_tail(F.col("k"), F.col("n"), risk) <= delta / (len(STRATA) + 1))
+    w = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     held = rows.withColumn("passes", passes).withColumn("held", F.min("passes").over(w)).where("held")
     return held.groupBy("stratum", "rule").agg(F.max_by("cutoff", "step").alias("cutoff"))
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gymlake.llm.common import read
-from gymlake.llm.quality_rules import DELTA, RISK, RULES, STRATA, judge
+from gymlake.llm.quality_rules import DELTA, RISK, RULES, STRATA, judge, settings
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -11,11 +11,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TESTS = "\n  union all ".join(
-    f"select stratum, '{rule}' rule, {step} step, cast({cut} as double) cutoff, count(*) n, count(*) filter (where {rule} > {cut}) k from good group by stratum"
-    for rule, cuts in RULES.items()
-    for step, cut in enumerate(cuts)
+    f"select stratum, '{rule}' rule, {step} step, cast({cut} as double) cutoff, count(*) n, count(*) filter (where {rejects}) k from good group by stratum" for step, rule, cut, rejects in settings()
 )
-_SHARE = RISK / len(RULES)
 _BROKEN = "coalesce(" + ", ".join(f"case when {r} > c_{r} then '{r}' end" for r in RULES) + ")"
 
 OP1_SQL = rf"""
@@ -38,11 +35,11 @@ ready as (
 good as (select * from ready where not base_failed and doc_id in (select doc_id from labels group by doc_id having min(quality) = 1)),
 tests as ({_TESTS}),
 passed as (
-  select *, k < {_SHARE} * n and (
-      select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}) + (n - i) * ln(1 - {_SHARE}))) from unnest(generate_series(0, k)) t(i)
-    ) <= {DELTA / (len(RULES) * (len(STRATA) + 1))} as passes
+  select *, k < {RISK} * n and (
+      select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))) from unnest(generate_series(0, k)) t(i)
+    ) <= {DELTA / (len(STRATA) + 1)} as passes
   from tests),
-held as (select *, bool_and(passes) over (partition by stratum, rule order by step) held from passed),
+held as (select *, bool_and(passes) over (partition by stratum order by step) held from passed),
 chosen as (select stratum, rule, max_by(cutoff, step) cutoff from held where held group by stratum, rule),
 wide as (select stratum, {', '.join(f"max(cutoff) filter (where rule = '{r}') c_{r}" for r in RULES)} from chosen group by stratum)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_BROKEN} is null kept, {_BROKEN} "rule"

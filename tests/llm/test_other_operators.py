@@ -173,16 +173,31 @@ def test_rule_features_equal_brute_force(spark):
 
 
 def test_cutoffs_hold_the_risk(spark):
-    rows = [(i, 3, (i % 1000) / 1000 if i % 50 == 0 else 0.0, 0.0, 0.0) for i in range(20000)]
+    rows = [(i, 1, (i % 1000) / 1000 if i % 50 == 0 else 0.0, 0.0, 0.0) for i in range(20000)]
     good = spark.createDataFrame(rows, "doc_id long, stratum int, symbols_per_word double, dup_line_share double, repeat_share double")
     chosen = {r["rule"]: r["cutoff"] for r in quality_rules.cutoffs(good).collect()}
     cut = chosen["symbols_per_word"]
-    k, n, p = sum(r[2] > cut for r in rows), len(rows), quality_rules.RISK / 3
+    k, n, p = sum(r[2] > cut for r in rows), len(rows), quality_rules.RISK
     tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
-    assert tail <= quality_rules.DELTA / 12
+    assert tail <= quality_rules.DELTA / 2
+    # a sequence stops where the rules together would reject too many, and rules after it get no cutoff
+    both = good.withColumn("repeat_share", F.when(F.col("doc_id") % 40 == 7, 0.2).otherwise(0.0))
+    got = {r["rule"]: r["cutoff"] for r in quality_rules.cutoffs(both).collect()}
+    assert got == {"symbols_per_word": quality_rules.RULES["symbols_per_word"][-1], "repeat_share": 0.2}
     assert quality_rules.cutoffs(good.limit(20)).count() == 0
 
 
+def test_rules_reject_and_equal_sql(spark):
+    """Where there are labels enough: cutoffs exist, reject, and equal those of the SQL; an empty table gives no rows."""
+    from gymlake.llm.quality_rules_queries import OP1_SQL, op1_quality_rules
+    from tests.oracle import compare, connect
+
+    assert connect(SF).execute(f"select count(rule) from ({OP1_SQL})").fetchone()[0] > 0
+    compare(spark, connect(SF), op1_quality_rules, OP1_SQL, SF)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert quality_rules.judge(docs(spark, []), labels).count() == 0
+
+
 def test_judge_without_labels_keeps_what_base_rules_pass(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     rows = [doc(1, " ".join(f"w{k}" for k in range(25))), doc(2, "a b"), doc(3, None), doc(3, None)]
