@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gymlake.llm.common import bounded_batches, tidy, trim
 from gymlake.llm.kernel import LOWER, SPACE, U, Words, chunks, mix, mix_int, powers
 
-SAMPLE, SAMPLE_CHARS = 4000, 100_000
+SAMPLE, SAMPLE_CHARS = 4000, 30_000
 DIMENSIONS = 32
 WORDS, SHAPES = 1 << 15, 1 << 12
 SEGMENT = 64

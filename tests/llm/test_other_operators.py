@@ -17,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gymlake.llm import chat, media, mixing, mpeg, quality_model, quality_rules, toxicity
+from gymlake.llm.kernel import chunks
 from gymlake.llm.html_cut import blocks_of, main_text, minimum_cut
 from gymlake.llm.html_queries import extract
 
@@ -269,7 +270,33 @@ def test_automaton_equals_edit_distance():
         elif low != "idiom" and (levenshtein(low, "idiot") <= 1 or levenshtein(low, "worthless") <= 2):
             want = toxicity.FUZZY
         assert (label.tolist() or [0])[0] == want, w
-        assert all(quoted)
+        assert not any(quoted)  # the mark has no partner
+
+
+def quoted_of(text):
+    automaton = toxicity.build_automaton([("moron", False)])
+    data = np.frombuffer(text.encode(), np.uint8)
+    return toxicity.find_hits(automaton, data, np.array([0, len(data)]))[3].tolist()
+
+
+def test_quotation_needs_a_pair_of_marks_close_together():
+    assert quoted_of('a 5" disk and you moron') == [False] and quoted_of('he said "you moron" and left, moron') == [True, False]
+    assert quoted_of('"open moron') == [False] and quoted_of('moron close"') == [False]
+    assert quoted_of("»du moron« und „moron“") == [True, True] and quoted_of('"moron"') == [True]
+    assert quoted_of('"' + "a " * 200 + 'moron"') == [False] and quoted_of('"one" moron "two"') == [False]
+    automaton = toxicity.build_automaton([("moron", False)])
+    data = np.frombuffer(b'say "moron" end', np.uint8)
+    cut = toxicity.find_hits(automaton, data, np.array([0, 4, 10, 15]))[3].tolist()  # the marks lie in two documents
+    assert cut == [False]
+
+
+def test_terms_of_any_script_length_and_number():
+    terms = ["傻瓜混蛋", "ばかやろう", "멍청이같은놈", "x" * 40, "ßtörrisch", *(f"term{chr(0x4E00 + k)}number" for k in range(20))]
+    automaton = toxicity.build_automaton([(t, False) for t in terms])
+    for t in terms:
+        texts = pa.array([f"({t})", f"{t[:-1]}", "平和な日"])
+        found = [toxicity.features(automaton, d, o) for _, _, d, o in chunks(texts)][0]
+        assert found[0].any() and not found[2].any(), t
 
 
 def test_misspelt_and_quoted_terms():
