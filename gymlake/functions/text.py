@@ -60,17 +60,17 @@ def fenced_json(x: Column) -> Column:
     return F.coalesce(F.try_element_at(scored, F.lit(-1)), F.try_element_at(found, F.lit(-1)))
 
 
-def repair_json(x: Column) -> Column:
-    """Drop trailing commas, give keys double quotes."""
-    x = F.regexp_replace(x, r",(\s*[}\]])", "$1")
-    x = F.regexp_replace(x, r"(?U)'(\w+)'(\s*:)", '"$1"$2')
-    return F.regexp_replace(x, r"(?U)([{,])\s*(\w+)\s*:", '$1"$2":')
+#: Spark's reader takes single quotes and bare names; commas before a closing bracket are dropped first, outside of strings.
+LENIENT = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"}
 
 
-def scores_only(x: Column) -> Column:
-    """A minimal object around the scores alone, where they can be found."""
-    found = F.regexp_extract(x, r'"scores"\s*:\s*\{[^}]+\}', 0)
-    return F.when(found != "", F.concat(F.lit('{"strengths":[],"weaknesses":[],'), found, F.lit("}")))
+def lenient_json(x: Column, schema: str) -> Column:
+    return F.from_json(F.regexp_replace(x, r"""("(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+')|,(?=\s*[\]}])""", "$1"), schema, LENIENT)
+
+
+def scores_alone(x: Column) -> Column:
+    """The object that follows a first "scores", as text, however the rest is broken; else null."""
+    return F.nullif(F.regexp_extract(x, r'"scores"\s*:\s*(\{[^{}]+\})', 1), F.lit(""))
 
 
 def strip_fence(x: Column) -> Column:
@@ -188,8 +188,22 @@ def strip_thinking(x: Column, stop_tag: str = "") -> Column:
     return run(x)
 
 
-def outer_braces(text: str, backward: bool = False) -> str | None:
-    """The first balanced object, or the last one, with strings and escapes honoured."""
+def outer_braces(text: str, backward: bool = False, prefer: str = "") -> str | None:
+    """The first balanced object, or the last one (if some hold `prefer`, the last of those), with strings and escapes honoured.
+
+    A brace that is never closed does not hide the objects after it.
+    """
+    found = _balanced(text, backward)
+    if backward or not found:
+        while not found and (at := text.find("{")) >= 0:
+            text = text[at + 1 :]
+            found = _balanced(text, backward)
+        wanted = [f for f in found if prefer and prefer in f]
+        return (wanted or found)[-1] if found else None
+    return found[0]
+
+
+def _balanced(text: str, every: bool) -> list[str]:
     found, depth, start, quoted, skip = [], 0, 0, False, False
     for i, ch in enumerate(text):
         if skip:
@@ -203,16 +217,16 @@ def outer_braces(text: str, backward: bool = False) -> str | None:
         elif ch == "}" and depth:
             depth -= 1
             if depth == 0:
-                if not backward:
-                    return text[start : i + 1]
                 found.append(text[start : i + 1])
-    return found[-1] if found else None
+                if not every:
+                    break
+    return found
 
 
-def outer_object(x: Column, backward: bool = False) -> Column:
+def outer_object(x: Column, backward: bool = False, prefer: str = "") -> Column:
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else outer_braces(t, backward))
+        return texts.map(lambda t: None if t is None else outer_braces(t, backward, prefer))
 
     return run(x)
 

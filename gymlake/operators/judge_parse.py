@@ -10,11 +10,14 @@ from gymlake.sources.tables import DIMENSIONS
 
 
 def coerce_score(raw: Column) -> Column:
-    """A score as text to 0..5: whole numbers as they are, others rounded half to even, "4/5" its first part, true 1; anything else 0."""
-    text = X.trimmed(F.coalesce(raw, F.lit("")))
-    number = F.when(F.lower(text) == "true", F.lit(1.0).cast("double")).otherwise(X.trimmed(F.split_part(text, F.lit("/"), F.lit(1))).try_cast("double"))
-    whole = F.coalesce(F.bround(number, 0).cast("int"), F.lit(0))
-    return F.when(whole > 0, F.least(whole, F.lit(5))).otherwise(F.lit(0))
+    """A score (variant) to 0..5: whole numbers as they are, others rounded half to even, true 1, "4/5" its first part if that is a whole number; anything else 0."""
+    kind, text = F.schema_of_variant(raw), F.try_variant_get(raw, "$", "string")
+    part = X.trimmed(F.split_part(text, F.lit("/"), F.lit(1)))
+    whole = (
+        F.when(kind == "BOOLEAN", (text == "true").cast("int")).when(kind == "STRING", F.when(part.rlike("^[+-]?[0-9]+$"), part.try_cast("int")))
+        .when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.bround(text.try_cast("double"), 0).cast("int"))
+    )
+    return F.when(F.coalesce(whole, F.lit(0)) > 0, F.least(whole, F.lit(5))).otherwise(F.lit(0))
 
 
 def total_score(*scores: Column) -> Column:
@@ -33,22 +36,26 @@ def string_list(raw: Column) -> Column:
 def parse_judgements(df: DataFrame, raw: str = "raw", tag: str = "final_evaluation") -> DataFrame:
     """Adds the five dimensions, total_score, strengths, weaknesses, success, error_message.
 
-    Thinking goes first; then the last tagged block (or the whole), the fenced
-    object or the last balanced one, repaired where it does not parse, and at
-    last the scores alone. A reply without scores fails with zeros.
+    Thinking goes first (an unclosed one ends where the tag opens); then of the last
+    tagged block, or the whole, the fenced object or the last balanced one, each
+    preferably with scores, read leniently, and at last the scores alone. A reply
+    with a scores object succeeds, also where no score is valid; one without fails
+    with zeros.
     """
     body = F.coalesce(X.last_tag_block(F.col("_clean"), tag), F.col("_clean"))
-    df = df.withColumn("_clean", X.strip_thinking(F.coalesce(F.col(raw), F.lit(""))))
-    df = df.withColumn("_body", body).withColumn("_object", F.coalesce(X.fenced_json(F.col("_body")), X.outer_object(F.col("_body"), True)))
-    first = F.get_json_object("_object", "$.scores")
-    mended = X.repair_json(F.col("_object"))
-    df = df.withColumn("_json", F.when(first.isNotNull(), F.col("_object")).when(F.get_json_object(mended, "$.scores").isNotNull(), mended).otherwise(X.scores_only(F.col("_body"))))
+    df = df.withColumn("_clean", X.strip_thinking(F.coalesce(F.col(raw), F.lit("")), tag))
+    df = df.withColumn("_body", body).withColumn("_object", F.coalesce(X.fenced_json(F.col("_body")), X.outer_object(F.col("_body"), True, '"scores"')))
+    shape = "scores variant, strengths variant, weaknesses variant"
+    df = df.withColumn("_read", X.lenient_json(F.col("_object"), shape)).withColumn("_alone", X.lenient_json(X.scores_alone(F.col("_body")), "variant"))
+    is_object = lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    df = df.withColumn("_scores", F.when(is_object(F.col("_read.scores")), F.col("_read.scores")).when(is_object(F.col("_alone")), F.col("_alone")))
     for d in DIMENSIONS:
-        df = df.withColumn(d, coerce_score(F.get_json_object("_json", f"$.scores.{d}")))
-    df = df.withColumn("total_score", total_score(*[F.col(d) for d in DIMENSIONS])).withColumn("success", F.col("total_score") > 0)
-    df = df.withColumn("strengths", string_list(F.get_json_object("_json", "$.strengths"))).withColumn("weaknesses", string_list(F.get_json_object("_json", "$.weaknesses")))
-    message = F.when(X.trimmed(F.coalesce(F.col(raw), F.lit(""))) == "", "Empty output").when(F.col("_json").isNull(), "No scores found").when(~F.col("success"), "No valid score")
-    return df.withColumn("error_message", message).drop("_clean", "_body", "_object", "_json")
+        df = df.withColumn(d, coerce_score(F.try_variant_get("_scores", f"$.{d}", "variant")))
+    df = df.withColumn("total_score", total_score(*[F.col(d) for d in DIMENSIONS])).withColumn("success", F.col("_scores").isNotNull())
+    for c in ("strengths", "weaknesses"):
+        df = df.withColumn(c, string_list(F.try_variant_get(f"_read.{c}", "$", "string")))
+    message = F.when(X.trimmed(F.coalesce(F.col(raw), F.lit(""))) == "", "Empty output").when(F.col("_object").isNull() & ~F.col("success"), "No JSON object found").when(~F.col("success"), "No scores found")
+    return df.withColumn("error_message", message).drop("_clean", "_body", "_object", "_read", "_alone", "_scores")
 
 
 def bounded_score(raw: Column) -> tuple[Column, Column]:

@@ -77,10 +77,14 @@ def near_duplicates(entries: DataFrame, incoming: DataFrame, threshold: float =
     return best.select("new_id", F.col("m.entry_id").alias("entry_id"), F.col("m.similarity").alias("similarity"))
 
 
-EDITED = "playbook_id int, pos int, entry_id string, tag string, content string, helpful long, harmful long, version int, outcome string"
+EDITED = "playbook_id int, pos int, entry_id string, tag string, content string, helpful long, harmful long, version int, provenance array<string>, outcome string"
 _TOKEN = re.compile(r"[^\W_]+")
 
 
+def _tag(text: str) -> str:
+    return "-".join(_TOKEN.findall(text.lower())) or "general"
+
+
 class _Contents:
     """Token sets of the entries of a book, to find one that says the same (Jaccard similarity 0.7 or more).
 
@@ -136,9 +140,12 @@ class _Contents:
 def edit_playbook(entries: list[dict], ops: list[dict]) -> tuple[list[dict], list[str]]:
     """Apply operations in order; what became of each.
 
-    An operation on an unknown entry is rejected and the rest go on. An addition
-    that says what an entry already says is suppressed. A merge stands where its
-    first entry stood, with the credit of all of them.
+    Rejected, while the rest go on: an operation without the content it needs, an
+    update or removal that does not name one known entry, and a merge that does not
+    name two. An addition that says what an entry already says is suppressed. An
+    update keeps the entry's id and credit. A merge takes the known ones of its
+    entries, stands where the first of them stood, has the credit of all and names
+    them. Tags are normalised.
 
     Entries are kept by place and found by id, so an operation does not scan the book.
     """
@@ -165,29 +172,28 @@ def edit_playbook(entries: list[dict], ops: list[dict]) -> tuple[list[dict], lis
                 contents.drop(at)
 
     for n, op in enumerate(ops):
-        kind, ids, end = op.get("op"), op.get("entry_ids") or [], len(entries) + n
-        places = [find(i) for i in ids]
-        if kind == "add":
+        kind, ids, end, content = op.get("op"), op.get("entry_ids") or [], len(entries) + n, (op.get("content") or "").strip()
+        places = [p for p in map(find, ids) if p is not None]
+        tag = _tag(op["tag"]) if op.get("tag") else None
+        if kind == "add" and content:
             if contents.said(end):
                 outcomes.append("suppressed")
                 continue
-            put(end, {"entry_id": f"new-{n}", "tag": op.get("tag") or "general", "content": op["content"], "helpful": 0, "harmful": 0, "version": 1}, n)
+            put(end, {"entry_id": f"new-{n}", "tag": tag or "general", "content": content, "helpful": 0, "harmful": 0, "version": 1, "provenance": []}, n)
             places_of.setdefault(f"new-{n}", []).append(end)
             outcomes.append("added")
-        elif not ids or any(p is None for p in places):
-            outcomes.append("rejected")
-        elif kind == "update":
+        elif kind == "update" and content and len(ids) == len(places) == 1:
             e = book[places[0]]
-            put(places[0], e | {"content": op["content"], "version": e["version"] + 1}, n)
+            put(places[0], e | {"content": content, "tag": tag or e["tag"], "version": e["version"] + 1}, n)
             outcomes.append("updated")
-        elif kind == "remove":
+        elif kind == "remove" and len(ids) == len(places) == 1:
             remove(places)
             outcomes.append("removed")
-        elif kind == "merge":
+        elif kind == "merge" and content and len(places) > 1:
             olds = [book[p] for p in places]
             new = {
-                "entry_id": f"new-{n}", "tag": op.get("tag") or olds[0]["tag"], "content": op["content"], "helpful": sum(e["helpful"] for e in olds),
-                "harmful": sum(e["harmful"] for e in olds), "version": max(e["version"] for e in olds) + 1,
+                "entry_id": f"new-{n}", "tag": tag or olds[0]["tag"], "content": content, "helpful": sum(e["helpful"] for e in olds),
+                "harmful": sum(e["harmful"] for e in olds), "version": max(e["version"] for e in olds) + 1, "provenance": [e["entry_id"] for e in olds],
             }
             first = min(places)
             remove(places)
@@ -208,7 +214,7 @@ def apply_edits(entries: DataFrame, ops: DataFrame) -> DataFrame:
             e |= {"entry_id": str(e["entry_id"]), "version": int(e["entry_version"])}
         batch = [r | {"entry_ids": [str(i) for i in (r["entry_ids"] if r["entry_ids"] is not None else [])]} for r in right.sort_values("batch_pos").to_dict("records")]
         book, outcomes = edit_playbook(before, batch)
-        rows = [(int(key[0]), i, e["entry_id"], e["tag"], e["content"], int(e["helpful"]), int(e["harmful"]), int(e["version"]), None if i else json.dumps(outcomes)) for i, e in enumerate(book)]
-        return pd.DataFrame(rows, columns=["playbook_id", "pos", "entry_id", "tag", "content", "helpful", "harmful", "version", "outcome"])
+        rows = [(int(key[0]), i, e["entry_id"], e["tag"], e["content"], int(e["helpful"]), int(e["harmful"]), int(e["version"]), list(e.get("provenance") or []), None if i else json.dumps(outcomes)) for i, e in enumerate(book)]
+        return pd.DataFrame(rows, columns=["playbook_id", "pos", "entry_id", "tag", "content", "helpful", "harmful", "version", "provenance", "outcome"])
 
     return entries.groupBy("playbook_id").cogroup(ops.groupBy("playbook_id")).applyInPandas(run, EDITED)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gymlake.functions import predicates as P
 from gymlake.functions import state as S
 from gymlake.functions.text import sequence_similarity
+from gymlake.operators.verdicts import with_verdicts
 from gymlake.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -124,19 +125,23 @@ PREDICATES = {
     "renamed": "all(n['title'] != 'b' for n in state['notes'] if 'k' in n['tags'])",
     "undeclared": "state['missing'] == 1",
     "unsafe": "__import__('os') == state",
+    "past_the_end": "state['notes'][1]['title'] != 'zzz'",
+    "not_past_the_end": "not state['notes'][1]['title'] == 'zzz'",
+    "distinct_titles": "len({n['title'] for n in state['notes']}) == len(state['notes'])",
     "tag_or_none": "len(state['notes']) == 0 or state.get('notes', [])[-1]['title'] == 'new'",
 }
 
 
 @query("""with c as (select doc_id, doc_id % 5 k from documents)
-select doc_id, k <> 3 has_food, k <> 3 two_notes, k <> 4 renamed, false undeclared, false unsafe, k <> 4 tag_or_none from c""")
+select doc_id, k <> 3 has_food, k <> 3 two_notes, k <> 4 renamed, false undeclared, false unsafe, k <> 4 tag_or_none, k <> 3 past_the_end, k <> 3 not_past_the_end,
+  true distinct_titles, case when k = 3 then 'checker_raised:IndexError' end past_the_end_error from c""")
 def checker_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compiled predicates over completed states: one projection, no Python."""
+    """Predicates over completed states, with the class of what they raise."""
     full = typed_states(spark, sf_dir).select("doc_id", S.complete(F.col("prior"), F.col("predicted"), NOTES).alias("state"))
-    return full.select("doc_id", *[P.compile_predicate(p, NOTES, state=F.col("state")).column.alias(name) for name, p in PREDICATES.items()])
+    return with_verdicts(full, PREDICATES, NOTES).select("doc_id", *PREDICATES, "past_the_end_error")
 
 
-@query("select unnest(['has_food', 'renamed', 'tag_or_none', 'two_notes', 'undeclared', 'unsafe']) predicate, unnest([null, null, null, null, 'checker_raised:KeyError', 'checker_unsafe:call']) reason, unnest([1, 1, 1, 2, 1, 1]) n_clauses")
+@query("select unnest(['has_food', 'renamed', 'tag_or_none', 'two_notes', 'undeclared', 'unsafe', 'past_the_end', 'not_past_the_end', 'distinct_titles']) predicate, unnest([null, null, null, null, 'checker_raised:KeyError', 'checker_unsafe:call', null, null, null]) reason, unnest([1, 1, 1, 2, 1, 1, 1, 1, 1]) n_clauses")
 def checker_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(n, P.compile_predicate(p, NOTES, state=F.lit(None)).reason, len(P.conjuncts(p))) for n, p in PREDICATES.items()]
     return spark.createDataFrame(rows, "predicate string, reason string, n_clauses int")
@@ -147,8 +152,7 @@ select lang, count(*) n, count(*) filter (where k = 3) clause_1_failed, 0::bigin
 def clause_anatomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which clause of a conjunction fails, by group: each clause is a column of its own."""
     full = typed_states(spark, sf_dir).select("doc_id", S.complete(F.col("prior"), F.col("predicted"), NOTES).alias("state"))
-    first, second = [P.compile_predicate(c, NOTES, state=F.col("state")).column for c in P.conjuncts(PREDICATES["two_notes"])]
-    flags = full.select("doc_id", first.alias("a"), second.alias("b"))
+    flags = with_verdicts(full, dict(zip("ab", P.conjuncts(PREDICATES["two_notes"]), strict=True)), NOTES).select("doc_id", "a", "b")
     lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return flags.join(lang, "doc_id").groupBy("lang").agg(
         F.count("*").alias("n"), F.count_if(~F.col("a")).alias("clause_1_failed"), F.count_if(F.col("a") & ~F.col("b")).alias("clause_2_failed_alone"), F.avg((F.col("a") & F.col("b")).cast("int")).alias("pass_rate")
@@ -159,17 +163,15 @@ def clause_anatomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ever_true(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A step-wise predicate over the sequence of states, and its value on the last one."""
     seq = typed_states(spark, sf_dir).select("doc_id", F.array(S.complete(F.col("prior"), F.col("predicted"), NOTES)).alias("states"))
-    ever = P.compile_predicate("any(len(s['notes']) > 1 for s in states)", NOTES, states=F.col("states")).column
-    end = P.compile_predicate("len(states[-1]['notes']) > 1", NOTES, states=F.col("states")).column
-    return seq.select("doc_id", ever.alias("ever"), end.alias("at_end"))
+    return with_verdicts(seq, {"ever": "any(len(s['notes']) > 1 for s in states)", "at_end": "len(states[-1]['notes']) > 1"}, NOTES, "states").select("doc_id", "ever", "at_end")
 
 
 @query("""with c as (select doc_id % 5 k, doc_id from documents) select doc_id, k <> 3 base, k <> 4 final, not (k <> 3) and k <> 4 genuinely_improved, k <> 3 and not (k <> 4) regressed from c""")
 def paired_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = typed_states(spark, sf_dir).select("doc_id", S.complete(F.col("prior"), F.col("predicted"), NOTES).alias("state"))
-    two = [P.compile_predicate(PREDICATES[n], NOTES, state=F.col("state")).column.alias(m) for n, m in (("has_food", "base"), ("tag_or_none", "final"))]
+    two = {m: PREDICATES[n] for n, m in (("has_food", "base"), ("tag_or_none", "final"))}
     b, f = F.col("base"), F.col("final")
-    return full.select("doc_id", *two).select("doc_id", "base", "final", (~b & f).alias("genuinely_improved"), (b & ~f).alias("regressed"))
+    return with_verdicts(full, two, NOTES).select("doc_id", "base", "final", (~b & f).alias("genuinely_improved"), (b & ~f).alias("regressed"))
 
 
 _EV = """with e as (select event_id, event_id % 7 <> 0 valid, (event_id % 11) / 10.0::double agreement, case when event_id % 4 = 0 then null else event_id % 3 <> 0 end cf, case when event_id % 13 = 0 then true when event_id % 17 = 0 then false end adj from events),

@@ -45,7 +45,21 @@ def test_tags(spark):
 
 
 def test_scores(spark):
-    assert run(spark, coerce_score, ["7", "0", "-1", "3.5", "2.5", "4/5", "n/a", None, "true", " 3 "]) == [5, 0, 0, 4, 2, 4, 0, 0, 1, 3]
+    raws = ["7", "0", "-1", "3.5", "2.5", '"4/5"', '"n/a"', None, "true", '" 3 "', '"2.5"', '"true"', "[4]", "null", "false"]
+    assert run(spark, lambda x: coerce_score(F.parse_json(x)), raws) == [5, 0, 0, 4, 2, 4, 0, 0, 1, 3, 0, 0, 0, 0, 0]
+
+
+def test_judgements_that_are_hard_to_read(spark):
+    raws = [
+        '{"scores": {"format": 3}, "strengths": ["a"], "weaknesses": "b"} and {"note": 1}',  # the object with scores counts
+        '<think>never closed {"x": 1} <final_evaluation>{"scores": {"format": 3}, "strengths": ["a"]}',  # thinking ends where the tag opens
+        '{"scores": {"format": 0, "quality": 0}}',  # no valid score is no failure to read
+        "{'scores': {format: 3,}, 'strengths': ['a, ]', 'b',],}", 'a stray { brace, then {"scores": {"format": 3}}',
+    ]
+    got = [r.asDict() for r in parse_judgements(spark.createDataFrame(list(enumerate(raws)), "i int, raw string")).orderBy("i").collect()]
+    assert [r["format"] for r in got] == [3, 3, 0, 3, 3] and all(r["success"] and r["error_message"] is None for r in got)
+    assert [r["total_score"] for r in got] == [3.0, 3.0, 0.0, 3.0, 3.0]
+    assert got[0]["strengths"] == ["a"] and got[0]["weaknesses"] == ["b"] and got[1]["strengths"] == ["a"] and got[3]["strengths"] == ["a, ]", "b"]
 
 
 def test_judgements(spark):
@@ -54,7 +68,7 @@ def test_judgements(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
     got = {r["i"]: r for r in parse_judgements(df).collect()}
     assert all(got[i]["total_score"] == 3.0 and got[i]["success"] for i in (0, 1, 2, 5))
-    assert got[0]["strengths"] == ["a"] and not got[3]["success"] and got[3]["error_message"] == "Empty output" and got[4]["error_message"] == "No scores found"
+    assert got[0]["strengths"] == ["a"] and not got[3]["success"] and got[3]["error_message"] == "Empty output" and got[4]["error_message"] == "No JSON object found"
 
 
 def test_verdict_modes(spark):
@@ -108,6 +122,27 @@ def test_predicates_over_states(spark):
     assert [r[0] for r in steps.select(j.column).collect()] == [True, False, False]
 
 
+def test_predicates_that_raise_or_have_no_native_form(spark):
+    df = spark.createDataFrame([([("a", "c", ["x"])],), ([],)], NOTES).select(F.struct("notes").alias("state"))
+    out_of_range = [("t", None), ("f", "checker_raised:IndexError")]
+    tests = {
+        "state['notes'][0]['title'] != 'b'": out_of_range,
+        "not state['notes'][0]['title'] == 'b'": out_of_range,
+        "len(state['notes']) == 0 or state['notes'][0]['title'] == 'a'": [("t", None), ("t", None)],
+        "len(state['notes']) > 0 and state['missing'] == 1": [("f", "checker_raised:KeyError"), ("f", None)],
+        "{n['title'] for n in state['notes']} == {n['title'] for n in state['notes'][-1:]}": [("t", None), ("t", None)],
+        "state['notes'][0]['content'].split('c').count('') == 2": out_of_range,
+        "len([t for n in state['notes'] for t in n['tags']]) == 1": [("t", None), ("f", None)],
+        "state['notes'] < 3": [("f", "checker_raised:TypeError")] * 2,
+    }
+    for p, want in tests.items():
+        assert P.vet(p) is None
+        c = P.compile_predicate(p, NOTES, state=F.col("state"))
+        got = df.select(c.column.alias("c"), c.error.alias("e")).collect()
+        assert [("ft"[r["c"]], r["e"]) for r in got] == want, p
+    assert P.vet("state['a'].__class__") == "attribute:__class__" and P.vet("open('x') == state") == "call"
+
+
 @pytest.mark.parametrize("raw,want", [
     ('{"notes":[]}', []), ('{"notes":[{"title":"a","content":"b"}]}', ["missing:notes[0].tags"]), ('{"notes":{"a":1}}', ["kind:notes:object"]), ("{}", ["missing:notes"]),
     ('{"notes":[{"id":1,"title":"a","content":"b","tags":"client"}]}', ["extra:notes[0].id", "kind:notes[0].tags"]), (None, ["kind:state"]), ("[1]", ["kind:state"]),
@@ -140,6 +175,17 @@ def test_edits():
     assert B.edit_playbook(old, []) == (old, [])
 
 
+def test_edits_that_are_malformed_or_partly_known():
+    old = [{"entry_id": str(i), "tag": "t", "content": c, "helpful": i, "harmful": 1, "version": 1} for i, c in enumerate(["check the path first", "never delete records", "list files before reading"])]
+    ops = [
+        {"op": "merge", "entry_ids": ["0"], "content": "x"}, {"op": "remove", "entry_ids": ["0", "1"]}, {"op": "add", "content": "  "}, {"op": "update", "entry_ids": ["0", "1"], "content": "x"},
+        {"op": "update", "entry_ids": ["0"], "content": " sharper words ", "tag": "A B"}, {"op": "merge", "entry_ids": ["2", "nine", "1"], "content": "both", "tag": None}, {"op": "update", "entry_ids": ["0"], "content": ""},
+    ]
+    book, outcomes = B.edit_playbook(old, ops)
+    assert outcomes == ["rejected", "rejected", "rejected", "rejected", "updated", "merged", "rejected"]
+    assert [(e["entry_id"], e["tag"], e["content"], e["version"], e.get("provenance")) for e in book] == [("0", "a-b", "sharper words", 2, None), ("new-5", "t", "both", 2, ["2", "1"])]
+
+
 def test_frontier_keeps_ties(spark):
     df = spark.createDataFrame([("a", 0.9, 0.1, 0.5), ("b", 0.1, 0.9, 0.5), ("c", 0.1, 0.1, 0.1), ("d", 0.9, 0.1, 0.5)], "k string, x double, y double, z double")
     assert sorted(r["k"] for r in B.pareto_frontier(df, "k", "x", "y", "z").collect()) == ["a", "b", "d"]

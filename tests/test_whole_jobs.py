@@ -27,17 +27,19 @@ def scanned(book, ops):
     outcomes = []
     tokens = lambda t: {w for w in re.findall(r"[^\W_]+", t.lower()) if len(w) > 2}
     same = lambda a, b: bool(a | b) and len(a & b) / len(a | b) >= 0.7
-    for n, (op, ids, tag, content) in enumerate(ops):
+    for n, (op, ids, tag, content) in enumerate((*o[:3], o[3].strip()) for o in ops):
         at = [next((k for k, e in enumerate(book) if e[0] == i), None) for i in ids]
         if op == "add":
             known = any(same(tokens(content), tokens(e[2])) for e in book)
             book = book if known else [*book, (f"new-{n}", tag, content, 0, 0, 1)]
             outcomes.append("suppressed" if known else "added")
-        elif None in at:
+            continue
+        at = [k for k in at if k is not None]
+        if len(at) < 2 if op == "merge" else (len(ids), len(at)) != (1, 1):
             outcomes.append("rejected")
         elif op == "update":
-            i, t, _, h, b, v = book[at[0]]
-            book = [*book[: at[0]], (i, t, content, h, b, v + 1), *book[at[0] + 1 :]]
+            i, _, _, h, b, v = book[at[0]]
+            book = [*book[: at[0]], (i, tag, content, h, b, v + 1), *book[at[0] + 1 :]]
             outcomes.append("updated")
         else:
             olds, rest = [book[k] for k in at], [e for k, e in enumerate(book) if k not in at]
