@@ -202,6 +202,6 @@ def playbook_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = e.select(
         "playbook_id", F.col("pos").alias("batch_pos"),
         F.element_at(F.array(F.lit("add"), F.lit("update"), F.lit("merge"), F.lit("remove")), (F.floor(F.col("entry_id") / 10) % 4 + 1).cast("int")).alias("op"),
-        F.when(F.col("entry_id") % 20 < 10, F.array("entry_id")).otherwise(F.array(F.col("entry_id"), F.col("entry_id") + 10)).alias("entry_ids"), "tag", F.concat(F.lit("new rule "), "content").alias("content"),
+        F.when((F.floor(F.col("entry_id") / 10) % 4 == 2) | (F.col("entry_id") % 70 < 10), F.array(F.col("entry_id"), F.col("entry_id") + 20)).otherwise(F.array("entry_id")).alias("entry_ids"), "tag", F.concat(F.lit("new rule "), "content").alias("content"),
     )
     return B.apply_edits(e, ops)

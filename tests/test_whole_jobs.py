@@ -66,7 +66,7 @@ def test_playbook_edits_take_all_entries_and_whole_contents(spark, tmp_path):
     for p in range(10):
         own = range(p, 460, 10)
         book = [(str(i), f"src{i % 3}", texts[i], i % 5, i % 3, i % 4) for i in own]
-        ops = [(("add", "update", "merge", "remove")[i // 10 % 4], [str(i)] if i % 20 < 10 else [str(i), str(i + 10)], f"src{i % 3}", f"new rule {texts[i]}") for i in own]
+        ops = [(("add", "update", "merge", "remove")[i // 10 % 4], [str(i), str(i + 20)] if i // 10 % 4 == 2 or i % 70 < 10 else [str(i)], f"src{i % 3}", f"new rule {texts[i]}") for i in own]
         assert (got[p], told[p]) == scanned(book, ops)
         seen.update(told[p])
     assert seen == {"added", "suppressed", "updated", "merged", "removed", "rejected"}
