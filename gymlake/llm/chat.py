@@ -4,10 +4,10 @@ Logs often hold a conversation several times, each snapshot a prefix of the
 next. Two 64-bit digests of a conversation's first k turns are running
 exclusive-ors of the digests of its turns, each with its place. A conversation
 whose digests of all turns equal those of another one's first k goes: an
-anti-join on digests leaves the maximal conversations, which are rendered. Of
-equal conversations the one with the least conv_id stays. Both sides of the
-anti-join hold each digest once, so a conversation logged a million times costs
-one row.
+anti-join of whole conversations with longer ones' prefixes, by digest, leaves the
+maximal conversations, which are rendered. Of equal conversations the one with the
+least conv_id stays. Both sides of the anti-join hold each digest once, so a
+conversation logged a million times costs one row.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ def maximal(conversations: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64(F.lit(1), "place", "role", "text")).over(running).alias("h1"),
         F.bit_xor(F.xxhash64(F.lit(2), "text", "place", "role")).over(running).alias("h2"),
     )
-    keys = prefixes.groupBy("n_turns", "h1", "h2").agg(F.min(F.when(F.col("last"), F.col("conv_id"))).alias("conv_id"), F.bool_or(~F.col("last")).alias("prolonged"), F.count_if("last").alias("n_equal"))
-    return keys.where(F.col("conv_id").isNotNull() & ~F.col("prolonged")).select("conv_id", "n_turns", "n_equal")
+    key = ["n_turns", "h1", "h2"]
+    whole = prefixes.where("last").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_equal"))
+    prolonged = prefixes.where("not last").select(*key).distinct()
+    return whole.join(prolonged, key, "left_anti").select("conv_id", "n_turns", "n_equal")
 
 
 def render(conversations: DataFrame, open_mark: str = OPEN, close_mark: str = CLOSE) -> DataFrame:

@@ -42,6 +42,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders of this process's intermediate tables that have not been swept.
+_folders: set[str] = set()
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder; they survive lost executors."""
 
@@ -49,6 +53,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/gymlake-{uuid.uuid4().hex}"
         self.n = 0
+        _folders.add(self.base)
 
     def write(self, df: DataFrame) -> tuple[str, DataFrame]:
         self.n += 1
@@ -65,6 +70,13 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sweep(spark: SparkSession, keep: Scratch) -> None:
+    """Delete the intermediate tables of all operators but `keep`: for a caller who has written the results it needs of them."""
+    for base in [b for b in _folders if b != keep.base]:
+        keep.drop(base)
+        _folders.discard(base)
+
+
 def trim() -> None:
     """Give memory that Python has freed back to the system, so that it does not add up over the stages of a process."""
     pa.default_memory_pool().release_unused()

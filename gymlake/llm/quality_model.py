@@ -226,7 +226,11 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those whose score is under the threshold."""
+    """docs without those whose score is under the threshold.
+
+    Null, empty and blank texts have the score of no words; a null doc_id changes nothing. Repeated rows stay or go alike. Without
+    labels every score is 1/2, so all go. An empty table gives no rows. Columns and their order stay, whatever their names.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")

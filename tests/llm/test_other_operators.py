@@ -221,6 +221,21 @@ def test_quality_held_out_accuracy(spark):
     assert (pdf.predicted == pdf.y).mean() > 0.93 and pdf.score.between(0, 1).all()
 
 
+def test_keep_good_on_odd_tables(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    df = docs(spark, [doc(1, None), doc(2, ""), doc(None, "a b"), doc(2, "")])
+    assert quality_model.keep_good(df.limit(0), labels).count() == 0 and quality_model.keep_good(df, labels).count() == 0
+    kept = quality_model.keep_good(df, labels, threshold=0.0)
+    assert kept.count() == 4 and kept.columns == df.columns
+
+
+def test_media_of_empty_and_repeated_rows(spark):
+    df = docs(spark, [doc(1, "same"), doc(1, "same"), doc(None, "same")])
+    assert media.probe_audio(media.store_audio(df.limit(0))).count() == 0
+    got = media.probe_audio(media.store_audio(df)).collect()
+    assert len(got) == 3 and len({r["media_sha256"] for r in got}) == 1
+
+
 def test_toxicity_held_out_accuracy(spark):
     from gymlake.llm.toxicity_queries import op10_toxicity
 
