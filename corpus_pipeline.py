@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 return the columns of documents. `run` writes each stage's rows as Parquet in the
-shared folder and reads them again for the next one.
+shared folder and reads them again for the next one; what a stage no longer needs
+is deleted. Every stage takes nulls in any column, empty and very long texts,
+repeated rows, extra columns and empty tables (which give empty tables).
 """
 
 from __future__ import annotations
@@ -10,31 +12,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gymlake.llm import mixing, ngram_join, packing, quality_model, substring
-from gymlake.llm.common import Scratch, read
+from gymlake.llm.common import Scratch, read, sweep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier scores under its threshold."""
+    """Drop the documents that the classifier scores under its threshold; null and empty texts have the score of no words."""
     return quality_model.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least doc_id of each group of near copies."""
+    """Keep the document of the least doc_id of each group of near copies; rows without doc_id stay, rows that repeat one stay together."""
     return ngram_join.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut the 50-word windows that a smaller document has too."""
+    """Cut the 50-word windows that a smaller document has too; null texts stay null, rows without doc_id stay whole."""
     return substring.apply_removal(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or shorten documents to what the mix takes of them."""
+    """Repeat or shorten documents to what the mix takes of them; of null, empty and blank texts it takes nothing, so they go."""
     return mixing.apply_mix(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack tokens into sequences."""
+    """Pack tokens into sequences; a null or empty text is its end token alone."""
     return packing.pack(docs)
 
 
@@ -51,7 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark)
+    docs, scratch, before = read(spark, sf_dir, "documents"), Scratch(spark), None
     for _, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir))
+        path, docs = scratch.write(stage(spark, docs, sf_dir))
+        sweep(spark, keep=scratch)
+        if before:
+            scratch.drop(before)
+        before = path
     return docs
