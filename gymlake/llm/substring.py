@@ -114,7 +114,6 @@ def _by_owner(owner: np.ndarray, columns: tuple[np.ndarray, ...]) -> pa.RecordBa
 
 BINS = "bin long, n long, blob binary"
 SUFFIX = ("<i8", "<i4", "<u4", "<u4", "<u8")  # document, first word, digests of the prefixes, digest of the whole path
-PLACE = ("<i8", "<i4")
 
 
 def _joined(table: pa.Table, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
@@ -188,21 +187,16 @@ def internal_nodes(levels: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def _tree(doc_bins: int):
-    """The suffix tree of a group; (document, first word) of the suffixes that a smaller document has, by bin of document."""
-
-    def run(table: pa.Table) -> pa.Table:
-        doc, start, *prefixes, path = _joined(table, SUFFIX)
-        order = np.lexsort((doc, path, *reversed(prefixes)))
-        doc, start, levels = doc[order], start[order], [x[order] for x in (*prefixes, path)]
-        begin, end = internal_nodes(levels)[-1]  # the deep ones; documents ascend within
-        repeat = np.zeros(len(doc), bool)
-        inside = np.repeat(begin - (np.cumsum(end - begin) - (end - begin)), end - begin) + np.arange(int((end - begin).sum()))
-        repeat[inside] = doc[inside] > np.repeat(doc[begin], end - begin)
-        doc, start = doc[repeat], start[repeat]
-        return pa.Table.from_batches([_by_owner((mix(doc.astype(np.uint64)) % np.uint64(doc_bins)).astype(np.int64), (doc, start))])
-
-    return run
+def _tree(table: pa.Table) -> pa.Table:
+    """The suffix tree of a group: (document, first word) of each suffix that a smaller document has."""
+    doc, start, *prefixes, path = _joined(table, SUFFIX)
+    order = np.lexsort((doc, path, *reversed(prefixes)))
+    doc, start, levels = doc[order], start[order], [x[order] for x in (*prefixes, path)]
+    begin, end = internal_nodes(levels)[-1]  # the deep ones; documents ascend within
+    repeat = np.zeros(len(doc), bool)
+    inside = np.repeat(begin - (np.cumsum(end - begin) - (end - begin)), end - begin) + np.arange(int((end - begin).sum()))
+    repeat[inside] = doc[inside] > np.repeat(doc[begin], end - begin)
+    return pa.table({"doc_id": pa.array(doc[repeat]), "start": pa.array(start[repeat])})
 
 
 REPEATS = "doc_id long, begins array<int>, ends array<int>"
@@ -221,10 +215,13 @@ def maximal_runs(doc: np.ndarray, start: np.ndarray, depth: int) -> pa.Table:
 
 
 def _runs(depth: int):
-    def run(table: pa.Table) -> pa.Table:
-        return maximal_runs(*_joined(table, PLACE), depth)
+    def run(batches):
+        for batch in batches:
+            starts = batch.column(1)
+            owner = np.repeat(np.asarray(batch.column(0)), np.diff(np.asarray(starts.offsets)))
+            yield from maximal_runs(owner, np.asarray(starts.flatten()), depth).to_batches()
 
-    return run
+    return tidy(run)
 
 
 def _rows(batches):
@@ -235,7 +232,7 @@ def _rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(signed(path)), pa.array(doc), pa.array(start)], ["path", "doc_id", "start"])
 
 
-def deep_repeats(suffixes: DataFrame, scratch: Scratch, depth: int, group: int, doc_bins: int) -> DataFrame:
+def deep_repeats(suffixes: DataFrame, scratch: Scratch, depth: int, group: int) -> DataFrame:
     """(doc_id, begins, ends): the maximal stretches of each document that lie in deep nodes under a smaller document."""
     ready, spare = [], []
     for level in range(1, 4):
@@ -254,14 +251,12 @@ def deep_repeats(suffixes: DataFrame, scratch: Scratch, depth: int, group: int,
     every = ready[0]
     for more in ready[1:]:
         every = every.unionByName(more)
-    places = every.select("bin", "blob").groupBy("bin").applyInArrow(_tree(doc_bins), BINS)
-    found = places.select("bin", "blob").groupBy("bin").applyInArrow(_runs(depth), REPEATS)
+    places = every.select("bin", "blob").groupBy("bin").applyInArrow(_tree, "doc_id long, start int")
     if suffixes is not None:  # groups of one path with more suffixes than a group may have: split by suffix, both sides dealt anew
         rows = suffixes.mapInArrow(tidy(_rows), "path long, doc_id long, start int")
         least = scratch.table(rows.groupBy("path").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"))
-        hot = rows.join(least, "path").where("doc_id > least").groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("begins"))
-        found = found.unionByName(hot.select("doc_id", "begins", F.transform("begins", lambda x: (x + depth).cast("int")).alias("ends")))
-        found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
+        places = places.union(rows.join(least, "path").where("doc_id > least").select("doc_id", "start"))
+    found = places.groupBy("doc_id").agg(F.collect_set("start").alias("starts")).mapInArrow(_runs(depth), REPEATS)  # no more than a document has words
     found = scratch.table(found)
     for path in spare:
         scratch.drop(path)
@@ -327,7 +322,7 @@ def repeats(docs: DataFrame, depth: int = DEPTH, upper: int = UPPER, group: int
     scratch.drop(nodes_path)
     release(spark)
 
-    found = deep_repeats(suffixes, scratch, depth, group, bins)
+    found = deep_repeats(suffixes, scratch, depth, group)
     empty = F.array().cast("array<int>")
     out = found.select("doc_id", F.lit(False).alias("is_copy"), "begins", "ends").unionByName(copies.select("doc_id", F.lit(True).alias("is_copy"), empty.alias("begins"), empty.alias("ends")))
     out = scratch.table(out)
