@@ -296,6 +296,11 @@ def _cut(depth: int, with_text: bool):
     return tidy(run)
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
+    """A join whose right side grows with the input: sorted and merged at every size, never broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def repeats(docs: DataFrame, depth: int = DEPTH, upper: int = UPPER, group: int = GROUP, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, is_copy, begins, ends): the stretches of a document's words covered by windows that a smaller document has too; only documents that have any."""
     spark = docs.sparkSession
@@ -306,18 +311,18 @@ def repeats(docs: DataFrame, depth: int = DEPTH, upper: int = UPPER, group: int
     long = survey.where(F.col("n_words") >= depth)
     least = long.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     least_path, least = scratch.write(least)
-    copies = long.join(least.withColumnRenamed("d1", "e1").withColumnRenamed("d2", "e2"), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("doc_id") > F.col("least")), "left_semi").select("doc_id").distinct()
+    copies = sorted_join(long, least.withColumnRenamed("d1", "e1").withColumnRenamed("d2", "e2"), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("doc_id") > F.col("least")), "left_semi").select("doc_id").distinct()
     copies_path, copies = scratch.write(copies)
 
-    nodes = long.join(copies, "doc_id", "left_anti").select("doc_id", F.explode("nodes").alias("node"))
+    nodes = sorted_join(long, copies, "doc_id", "left_anti").select("doc_id", F.explode("nodes").alias("node"))
     nodes_path, nodes = scratch.write(nodes)
     shared = nodes.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("node")
     shared_path, shared = scratch.write(shared)
-    per_doc = nodes.join(shared, "node", "left_semi").groupBy("doc_id").agg(F.collect_set("node").alias("shared"))
+    per_doc = sorted_join(nodes, shared, "node", "left_semi").groupBy("doc_id").agg(F.collect_set("node").alias("shared"))
     words = long.agg(F.sum("n_words")).first()[0] or 0
     bins = max(64, 1 << int(words // group).bit_length())
     between = min(BETWEEN[0], depth)
-    suffixes = narrow.join(per_doc, "doc_id", "inner").select("doc_id", "text", "shared").mapInArrow(_suffixes(depth, upper, between, bins), BINS)
+    suffixes = sorted_join(narrow, per_doc, "doc_id", "inner").select("doc_id", "text", "shared").mapInArrow(_suffixes(depth, upper, between, bins), BINS)
     suffixes_path, suffixes = scratch.write(suffixes)
     scratch.drop(nodes_path)
     release(spark)
@@ -341,8 +346,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, with_text: bool = False,
     is the text itself where nothing was removed.
     """
     found = repeats(docs, depth, group=group, text=text, key=key)
-    joined = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(found, "doc_id", "left")
-    joined = joined.select("doc_id", "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "begins", "ends")
+    joined = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    joined = sorted_join(joined, found, "doc_id", "left").select("doc_id", "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "begins", "ends")
     return joined.mapInArrow(_cut(depth, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
@@ -351,7 +356,8 @@ def apply_removal(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     found = repeats(docs, depth)
     names = [f"_{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
-    inner = docs.toDF(*names).withColumn("_key", F.col(names[docs.columns.index("doc_id")]).cast("long")).join(found.withColumnRenamed("doc_id", "_key"), "_key", "left")
+    keyed = docs.toDF(*names).withColumn("_key", F.col(names[docs.columns.index("doc_id")]).cast("long"))
+    inner = sorted_join(keyed, found.withColumnRenamed("doc_id", "_key"), "_key", "left")
     schema = inner.select(*names).schema
 
     def run(batches, cut=_cut(depth, True)):
