@@ -239,3 +239,15 @@ def sequence_similarity(a: Column, b: Column) -> Column:
         return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(left, right, strict=True)], dtype="float64")
 
     return run(a, b)
+
+
+def all_strings(x: Column) -> Column:
+    """The distinct keys and texts of a JSON value, at any depth.
+
+    Escaped backslashes and quotes are put aside as control characters, which no
+    valid JSON text holds, so that a text ends at the next quote.
+    """
+    aside = F.replace(F.replace(x, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    back = lambda s: F.replace(F.replace(s, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    found = F.regexp_extract_all(aside, F.lit('"([^"]*+)"'), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda s: F.from_json(F.concat(F.lit('["'), back(s), F.lit('"]')), "array<string>")[0]))

@@ -35,6 +35,14 @@ def seeded(seed: int, column: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(column).cast("string")))
 
 
+def at_least(tasks: DataFrame, least: int) -> DataFrame:
+    """tasks, or an error where they are fewer than `least` (a comparison so small shows nothing); looks at no more rows than that."""
+    n = tasks.limit(least).count()
+    if n < least:
+        raise ValueError(f"{n} tasks in the set, at least {least} are needed")
+    return tasks
+
+
 _OWN = f"case when screened_by = '{SCREENER}' then baseline_pass_rate end"
 _DRAW = f"split = 'train' and not unpassable and not too_weak and ({_OWN} is null or {_OWN} between 0.2 and 0.6)"
 

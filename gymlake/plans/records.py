@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gymlake.functions import predicates as P
 from gymlake.functions import state as S
 from gymlake.functions import text as X
+from gymlake.operators import prompts as J
 from gymlake.plans.states import NOTES, typed_states
 from gymlake.sources import catalog as C
 from gymlake.sources.tables import table
@@ -171,3 +172,56 @@ def top_problem_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "documents").groupBy("source", F.col("lang").alias("tag")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("source").orderBy(F.col("n").desc(), "tag")
     return counts.withColumn("i", F.row_number().over(w)).where("i <= 2").drop("i")
+
+
+@query("""select doc_id, list_sort(list_distinct(['lang', 'meta', 'name', 'parts', 'deep', 'text', lang, source, text])) strings from documents""")
+def nested_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys and texts of a nested value of any depth, whole texts with quotes and line breaks among them."""
+    deep = F.array(F.struct(F.struct("text").alias("deep")))
+    raw = F.to_json(F.struct("lang", F.struct(F.col("source").alias("name"), deep.alias("parts")).alias("meta")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(X.all_strings(raw)).alias("strings"))
+
+
+@query("""select doc_id, case doc_id % 6 when 1 then case when doc_id % 2 = 0 then [] else ['leak'] end when 2 then ['key:zzz'] when 3 then ['tool:fly'] when 5 then ['unsafe:syntax'] else [] end problems from documents""")
+def checker_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkers of a bank held against what their authors were shown and what their family has."""
+    k, words = F.col("doc_id") % 6, "write these seven words into the title"
+    checker = F.element_at(F.array(*[F.lit(p) for p in (
+        "state['notes'][0]['title'] == 'x'", f"state['notes'][0]['title'] == '{words}'", "state['zzz'] == 1", "any(c['tool'] == 'fly' for c in state['_action_log'])",
+        f"state['notes'][0]['title'] == '{words}' and any(c['arguments']['title'] == 'x' for c in state['_action_log'])", "state['notes'",
+    )]), (k + 1).cast("int"))
+    shown = X.all_strings(F.to_json(F.struct(F.struct(F.when(F.col("doc_id") % 2 == 0, words).alias("instruction")).alias("task"))))
+    tools = [name for name, _, _ in C.TOOLS]
+    return table(spark, sf_dir, "documents").select("doc_id", P.audited(["notes", "title", "content", "tags"], tools)(checker, shown).alias("problems"))
+
+
+JUDGED = """{context}
+
+{asked}
+
+{predicted}
+
+{truth}
+
+Give each of the five dimensions a score from 1 to 5, as {{"scores": ...}}."""
+
+
+@query("""with p as (select conv_id, coalesce(list(coalesce(text, '') order by turn) filter (where role = 'user'), []) p, coalesce(list(coalesce(text, '') order by turn) filter (where role = 'assistant'), []) r from conversations group by conv_id),
+t as (select *, unnest(range(1, len(p) + 1)) turn_idx from p),
+x as (select conv_id, turn_idx, array_to_string(list_transform(range(1, least(turn_idx - 1, len(r)) + 1), lambda i: p[i] || chr(10) || r[i] || chr(10) || chr(10)), '') h,
+  case when conv_id % 3 = 0 then 'Turn ' || turn_idx else p[turn_idx] end asked, regexp_replace(coalesce(r[turn_idx], ''), '^\\s+|\\s+$', '', 'g') truth from t)
+select conv_id, turn_idx, case when h = '' then '' else '# Context (Historical Interactions):' || chr(10) || chr(10) || h || chr(10) || chr(10) end
+  || '# Current Turn:' || chr(10) || chr(10) || asked || chr(10) || chr(10) || '**World Model Output (Simulated):**' || chr(10) || '```' || chr(10) || truth || chr(10) || '```' || chr(10) || chr(10)
+  || '**Ground Truth (Real Output):**' || chr(10) || '```' || chr(10) || truth || chr(10) || '```' || chr(10) || chr(10) || 'Give each of the five dimensions a score from 1 to 5, as {"scores": ...}.' prompt from x""")
+def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt that a judge gets for each turn of a conversation; some jobs carry their own question."""
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))), lambda x: x["text"])
+    jobs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(of("user").alias("p"), of("assistant").alias("r"))
+    jobs = jobs.select("conv_id", "p", "r", F.posexplode("p").alias("at", "_")).withColumn("turn_idx", F.col("at").cast("long") + 1)
+    turn, given = F.col("turn_idx"), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Turn "), F.col("turn_idx").cast("string"))).otherwise("")
+    truth = J.ground_truth(F.col("r"), turn)
+    prompt = J.fill(
+        JUDGED, context=J.history(F.col("p"), F.col("r"), turn), asked=F.concat(F.lit(J.TURN), J.current_prompt(given, F.col("p"), turn)),
+        predicted=J.fenced(J.PREDICTED, X.strip_marker(F.concat(F.lit("**Out:** "), truth), "**Out:**")), truth=J.fenced(J.TRUTH, X.strip_marker(truth, "**Out:**")),
+    )
+    return jobs.select("conv_id", "turn_idx", prompt.alias("prompt"))

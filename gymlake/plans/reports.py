@@ -99,14 +99,26 @@ def tool_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("family").agg(F.count("*").alias("n_tools"), F.count_if(~F.col("name").isin(*C.DESTRUCTIVE)).alias("n_safe")).withColumn("held_out", F.col("family") == C.HELD_OUT_FAMILY)
 
 
+def family_overlap(train: DataFrame, held: DataFrame) -> DataFrame:
+    """One row: how many tool names and parameter keys two families share."""
+    names = train.select("name").intersect(held.select("name")).agg(F.count("*").alias("name_overlap"))
+    keys = train.select(F.explode("params")).intersect(held.select(F.explode("params"))).agg(F.count("*").alias("key_overlap"))
+    return names.crossJoin(keys).withColumn("isolated", (F.col("name_overlap") == 0) & (F.col("key_overlap") == 0))  # one row each
+
+
+def assert_isolated(train: DataFrame, held: DataFrame) -> None:
+    """Raise where training would show tools of the held-out family."""
+    found = family_overlap(train, held).first()
+    if not found["isolated"]:
+        raise ValueError(f"families share {found['name_overlap']} tool names and {found['key_overlap']} parameter keys")
+
+
 @query("select 0::bigint name_overlap, 0::bigint key_overlap, true isolated")
 def family_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether training families share a tool name or a parameter key with the held-out one."""
     t = C.tools(spark)
     train, held = t.where(F.col("family") != C.HELD_OUT_FAMILY), t.where(F.col("family") == C.HELD_OUT_FAMILY)
-    names = train.select("name").intersect(held.select("name")).agg(F.count("*").alias("name_overlap"))
-    keys = train.select(F.explode("params")).intersect(held.select(F.explode("params"))).agg(F.count("*").alias("key_overlap"))
-    return names.crossJoin(keys).withColumn("isolated", (F.col("name_overlap") == 0) & (F.col("key_overlap") == 0))
+    return family_overlap(train, held)
 
 
 @query("select doc_id, case when doc_id % 3 = 2 then 3 else 4 end lo, case when doc_id % 3 = 2 then 3 else 4 end hi from documents")
