@@ -52,7 +52,7 @@ def apply_credit(entries: DataFrame, credits: DataFrame) -> DataFrame:
 
 
 def near_duplicates(entries: DataFrame, incoming: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """For each incoming entry its most similar stored one of Jaccard similarity `threshold` or more, the earliest of equals.
+    """For each incoming entry its most similar stored one (not itself) of Jaccard similarity `threshold` or more, the earliest of equals.
 
     Prefix filter: with tokens in one order, similar sets share a token among the
     first n - ceil(t * n) + 1 of each; rarest tokens come first, so candidates stay few.
@@ -70,7 +70,7 @@ def near_duplicates(entries: DataFrame, incoming: DataFrame, threshold: float =
 
     pl, pr = prefixes(left).withColumnRenamed("entry_id", "new_id").withColumnRenamed("n", "nn"), prefixes(right)
     near = (F.col("n") >= threshold * F.col("nn")) & (F.col("nn") >= threshold * F.col("n"))
-    candidates = pl.join(pr, "token").where(near).select("new_id", "entry_id").distinct()
+    candidates = pl.join(pr, "token").where(near & (F.col("new_id") != F.col("entry_id"))).select("new_id", "entry_id").distinct()
     joined = candidates.join(left.select(F.col("entry_id").alias("new_id"), F.col("tokens").alias("a")), "new_id").join(right.select("entry_id", "pos", F.col("tokens").alias("b")), "entry_id")
     scored = joined.withColumn("similarity", jaccard(F.col("a"), F.col("b"))).where(F.col("similarity") >= threshold)
     best = scored.groupBy("new_id").agg(F.max_by(F.struct("entry_id", "similarity"), F.struct("similarity", -F.col("pos"))).alias("m"))

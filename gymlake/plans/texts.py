@@ -150,9 +150,9 @@ def bounded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAG = r"coalesce(nullif(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'general')"
 
 
-@query(rf"with {ENTRIES_SQL} select entry_id, {_TAG.format("left(content, 24)")} tag from entries")
+@query(rf"with {ENTRIES_SQL} select entry_id, {_TAG.format("content")} tag from entries")
 def tag_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entries(spark, sf_dir).select("entry_id", X.normalise_tag(F.left("content", F.lit(24))).alias("tag"))
+    return entries(spark, sf_dir).select("entry_id", X.normalise_tag(F.col("content")).alias("tag"))
 
 
 @query(f"with {ENTRIES_SQL} select playbook_id, left(sha1('m' || chr(10) || string_agg(tag || ':' || content, chr(10) order by tag || ':' || content)), 12) fingerprint, count(*) n_entries from entries group by playbook_id")
