@@ -6,6 +6,7 @@ from gymlake.llm import (
     chat_queries,
     html_queries,
     media,
+    merkle_queries,
     mixing_queries,
     ngram_join_queries,
     packing_queries,
@@ -26,6 +27,7 @@ _MODULES = (
     mixing_queries,
     chat_queries,
     toxicity_queries,
+    merkle_queries,
 )
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -55,9 +55,13 @@ class Scratch:
         self.n = 0
         _folders.add(self.base)
 
-    def write(self, df: DataFrame) -> tuple[str, DataFrame]:
+    def folder(self) -> str:
+        """A path of its own for a caller that writes there itself."""
         self.n += 1
-        path = f"{self.base}/{self.n}"
+        return f"{self.base}/{self.n}"
+
+    def write(self, df: DataFrame) -> tuple[str, DataFrame]:
+        path = self.folder()
         df.write.parquet(path)
         return path, self.spark.read.schema(df.schema).parquet(path)
 
