@@ -12,6 +12,7 @@ from gymlake.llm import (
     packing_queries,
     quality_model_queries,
     quality_rules_queries,
+    rolling_queries,
     substring_queries,
     toxicity_queries,
 )
@@ -27,6 +28,7 @@ _MODULES = (
     mixing_queries,
     chat_queries,
     toxicity_queries,
+    rolling_queries,
     merkle_queries,
 )
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
