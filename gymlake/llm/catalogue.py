@@ -15,6 +15,7 @@ from gymlake.llm import (
     rolling_queries,
     substring_queries,
     toxicity_queries,
+    url_rules_queries,
 )
 
 _MODULES = (
@@ -28,6 +29,7 @@ _MODULES = (
     mixing_queries,
     chat_queries,
     toxicity_queries,
+    url_rules_queries,
     rolling_queries,
     merkle_queries,
 )
