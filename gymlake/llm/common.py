@@ -7,6 +7,9 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,18 +45,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Folders of this process's intermediate tables that have not been swept.
-_folders: set[str] = set()
+#: The folders made inside the innermost `owned` block; none outside of one.
+_made: ContextVar[list[Scratch] | None] = ContextVar("_made", default=None)
 
 
 class Scratch:
-    """Intermediate tables as Parquet in the shared folder; they survive lost executors."""
+    """Intermediate tables as Parquet in the shared folder; they survive lost executors.
+
+    They are their maker's: nothing else drops them, but a caller who makes them inside `owned`.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/gymlake-{uuid.uuid4().hex}"
         self.n = 0
-        _folders.add(self.base)
+        if (made := _made.get()) is not None:
+            made.append(self)
 
     def folder(self) -> str:
         """A path of its own for a caller that writes there itself."""
@@ -74,11 +81,21 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def owned() -> Iterator[None]:
+    """Drop, on leaving, the intermediate tables of operators that were called inside: for a caller who writes their results before."""
+    made: list[Scratch] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for scratch in made:
+            scratch.drop(scratch.base)
+
+
 def sweep(spark: SparkSession, keep: Scratch) -> None:
-    """Delete the intermediate tables of all operators but `keep`: for a caller who has written the results it needs of them."""
-    for base in [b for b in _folders if b != keep.base]:
-        keep.drop(base)
-        _folders.discard(base)
+    """Takes no effect any more: see `owned`."""
 
 
 def trim() -> None:
