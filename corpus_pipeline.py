@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gymlake.llm import mixing, ngram_join, packing, quality_model, substring
-from gymlake.llm.common import Scratch, read, sweep
+from gymlake.llm.common import Scratch, owned, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch, before = read(spark, sf_dir, "documents"), Scratch(spark), None
     for _, stage in STAGES:
-        path, docs = scratch.write(stage(spark, docs, sf_dir))
-        sweep(spark, keep=scratch)
+        with owned():
+            path, docs = scratch.write(stage(spark, docs, sf_dir))
         if before:
             scratch.drop(before)
         before = path
