@@ -94,10 +94,6 @@ def owned() -> Iterator[None]:
             scratch.drop(scratch.base)
 
 
-def sweep(spark: SparkSession, keep: Scratch) -> None:
-    """Takes no effect any more: see `owned`."""
-
-
 def trim() -> None:
     """Give memory that Python has freed back to the system, so that it does not add up over the stages of a process."""
     pa.default_memory_pool().release_unused()

@@ -51,3 +51,19 @@ def test_registered_with_its_guard(spark):
     assert names["pipeline"] is corpus_pipeline.run
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
+
+
+def test_the_pipeline_leaves_other_results_alone_and_drops_its_own(spark, tmp_path):
+    from gymlake.llm.catalogue import QUERIES
+    from gymlake.llm.common import shared_dir
+
+    planned = [QUERIES[n](spark, SF) for n in ("op5_ngram_jaccard_join", "op6_pack_sequences", "op13_merkle_manifest")]
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folders = lambda: {f.getPath().getName() for f in base.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(base) if f.getPath().getName().startswith("gymlake-")}
+    before = folders()
+    first = corpus_pipeline.run(spark, SF)
+    assert len(folders() - before) == 1  # that of its result
+    second = corpus_pipeline.run(spark, SF)
+    assert first.count() == second.count() > 0
+    assert all(df.count() >= 200 for df in planned)
