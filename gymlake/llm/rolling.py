@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gymlake.llm.common import bounded_batches, tidy
 
 #: Facts of whole groups that one DuckDB query takes, and list elements that its frames hold, at most; larger groups are cut into runs of windows.
-FACTS, ELEMENTS = 50_000, 4_000_000
+FACTS, ELEMENTS = 20_000, 1_000_000
 
 FEATURES = "array<struct<window_s:long,n_events:long,sum_chars:long,n_langs:long,median_chars:long,high_chars:long>>"
 
