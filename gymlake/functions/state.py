@@ -114,28 +114,42 @@ def conform(typed: Column, t: T.DataType) -> Column:
     return F.coalesce(typed, neutral(t))
 
 
+def _same_object(name: str, item: T.StructType):
+    """What identifies an object of a list: the declared field, else the first of the usual ones that it has; null where nothing does."""
+    if DECLARED_IDENTITY.get(name) in item.names:
+        return lambda x: x[DECLARED_IDENTITY[name]].cast("string")
+    usual = [k for k in IDENTITY if k in item.names]
+    if not usual:
+        return lambda x: F.lit(None).cast("string")
+    return lambda x: F.coalesce(*[F.concat(F.lit(f"{k}="), x[k].cast("string")) for k in usual])
+
+
 def complete(prior: Column, predicted: Column, schema: T.StructType) -> Column:
-    """A predicted state with what it left out: whole entries from before, fields of listed objects from their earlier selves, else neutral.
+    """A predicted state with what it left out, at every depth: from before, else neutral. Nothing that is there is changed.
 
-    An object missing from a list stays deleted; an empty list stays empty. The last of equal earlier objects counts.
+    Objects are merged key by key, maps too; objects of a list keep the fields of their earlier selves, found by identity; one that
+    is missing from a list stays deleted and an empty list stays empty. The last of equal earlier objects counts. What a list's
+    object holds in a field is taken whole, with neutral values where parts of it are missing. Null counts as left out.
     """
+    both = F.array(F.struct(prior.alias("prior"), predicted.alias("predicted")))  # computed once, read for every part
+    return F.get(F.transform(both, lambda b: _merged(b["prior"], b["predicted"], schema)), F.lit(0))
 
-    def entry(f: T.StructField) -> Column:
-        before, after = prior[f.name], predicted[f.name]
-        key = DECLARED_IDENTITY.get(f.name)
-        if key and isinstance(f.dataType, T.ArrayType):
-            item = f.dataType.elementType
 
-            def fill(x: Column) -> Column:
-                old = F.try_element_at(F.filter(before, lambda p: p[key] == x[key]), F.lit(-1))
-                return F.struct(*[F.coalesce(x[g.name], old[g.name], neutral(g.dataType)).alias(g.name) for g in item.fields])
+def _merged(prior: Column, predicted: Column, schema: T.DataType, name: str = "") -> Column:
+    if isinstance(schema, T.StructType):
+        return F.struct(*[_merged(prior[f.name], predicted[f.name], f.dataType, f.name).alias(f.name) for f in schema.fields])
+    if isinstance(schema, T.MapType):
+        kept = F.map_filter(prior, lambda k, _: ~F.map_contains_key(predicted, k))
+        return F.coalesce(F.map_concat(kept, predicted), predicted, prior, neutral(schema))
+    if isinstance(schema, T.ArrayType) and isinstance(schema.elementType, T.StructType):
+        item, same = schema.elementType, _same_object(name, schema.elementType)
 
-            return F.coalesce(F.transform(after, fill), before, neutral(f.dataType))
-        if isinstance(f.dataType, T.StructType):
-            return F.struct(*[F.coalesce(after[g.name], before[g.name], neutral(g.dataType)).alias(g.name) for g in f.dataType.fields])
-        return F.coalesce(after, before, neutral(f.dataType))
+        def fill(x: Column) -> Column:
+            old = F.try_element_at(F.filter(prior, lambda p: same(p) == same(x)), F.lit(-1))
+            return F.struct(*[conform(F.coalesce(x[g.name], old[g.name]), g.dataType).alias(g.name) for g in item.fields])
 
-    return F.struct(*[entry(f).alias(f.name) for f in schema.fields])
+        return F.coalesce(F.transform(predicted, fill), conform(prior, schema))
+    return F.coalesce(predicted, prior, neutral(schema))
 
 
 def touched(prior: Column, after: Column) -> Column:
