@@ -158,18 +158,22 @@ def thinking_removed(text: str, stop_tag: str = "") -> str:
     if not tags:
         return text
     closes = [(start, end) for start, end, closing in tags if closing]
-    gone = []
+    gone, free = [], 0  # both kinds come in order, so the closes before `free` are taken or left over
     for start, end, closing in tags:
         if closing:
             continue
-        mate = next((c for c in closes if c[0] > start), None)
-        if mate:
-            closes.remove(mate)
-            gone.append((start, mate[1]))
+        while free < len(closes) and closes[free][0] < start:
+            gone.append((0, closes[free][1]))
+            free += 1
+        if free < len(closes):
+            gone.append((start, closes[free][1]))
+            free += 1
         else:
             stop = re.compile(rf"<{re.escape(stop_tag)}>", re.I).search(text, end) if stop_tag else None
             gone.append((start, stop.start() if stop else len(text)))
-    gone.extend((0, end) for _, end in closes)
+            if not stop:
+                break  # the rest is gone
+    gone.extend((0, end) for _, end in closes[free:])
     out, at = [], 0
     for start, end in sorted(gone):
         if start > at:
@@ -179,48 +183,80 @@ def thinking_removed(text: str, stop_tag: str = "") -> str:
 
 
 def strip_thinking(x: Column, stop_tag: str = "") -> Column:
-    """`thinking_removed` for texts that hold a tag; the others never leave the JVM's answer."""
+    """`thinking_removed` of texts that hold a tag; the others stay in the JVM."""
+    tagged = x.rlike("(?i)</?think>")
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else thinking_removed(t, stop_tag))
 
-    return run(x)
+    return F.when(tagged, run(F.when(tagged, x))).otherwise(x)
+
+
+_MARKS = re.compile(r'[{}"\\]')
+
+
+def brace_mates(text: str) -> list[tuple[int, int | None]]:
+    """(place of each opening brace, place just after the one that closes it), as a reader sees it who begins there; None if none does.
+
+    Within braces, quotes open texts, in which a backslash takes the next character with it. Two readers can differ in whether they
+    are within a text, so both views are kept, from the end to the start: for each mark and view the mark at which the depth first
+    falls below that before it. Linear in the text.
+    """
+    marks = [(m.start(), m.group()) for m in _MARKS.finditer(text)]
+    n = len(marks)
+    plain: list[int | None] = [None] * (n + 2)
+    quoted: list[int | None] = [None] * (n + 2)
+    for k in range(n - 1, -1, -1):
+        at, ch = marks[k]
+        if ch == '"':
+            plain[k], quoted[k] = quoted[k + 1], plain[k + 1]
+        elif ch == "\\":
+            plain[k], quoted[k] = plain[k + 1], quoted[k + 2] if k + 1 < n and marks[k + 1][0] == at + 1 else quoted[k + 1]
+        elif ch == "}":
+            plain[k], quoted[k] = k, quoted[k + 1]
+        else:
+            inner = plain[k + 1]
+            plain[k], quoted[k] = None if inner is None else plain[inner + 1], quoted[k + 1]
+    return [(at, None if (end := plain[k + 1]) is None else marks[end][0] + 1) for k, (at, ch) in enumerate(marks) if ch == "{"]
+
+
+def balanced_objects(text: str, to_the_first_gap: bool = False) -> list[tuple[int, str]]:
+    """(place, text) of the balanced objects that lie in no other one; a brace that is never closed hides nothing after it.
+
+    to_the_first_gap: stop at an unclosed brace once there is one.
+    """
+    out, free = [], 0
+    for at, end in brace_mates(text):
+        if at < free:
+            continue
+        if end is not None:
+            out.append((at, text[at:end]))
+            free = end
+        elif to_the_first_gap and out:
+            break
+    return out
 
 
 def outer_braces(text: str, backward: bool = False, prefer: str = "") -> str | None:
     """The first balanced object, or the last one (if some hold `prefer`, the last of those), with strings and escapes honoured.
 
-    A brace that is never closed does not hide the objects after it.
+    A brace that is never closed does not hide the objects after it, but the last one is sought before the next of these.
     """
-    found = _balanced(text, backward)
-    if backward or not found:
-        while not found and (at := text.find("{")) >= 0:
-            text = text[at + 1 :]
-            found = _balanced(text, backward)
-        wanted = [f for f in found if prefer and prefer in f]
-        return (wanted or found)[-1] if found else None
-    return found[0]
-
-
-def _balanced(text: str, every: bool) -> list[str]:
-    found, depth, start, quoted, skip = [], 0, 0, False, False
-    for i, ch in enumerate(text):
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = ch == "\\", ch != '"'
-        elif ch == '"' and depth:
-            quoted = True
-        elif ch == "{":
-            start, depth = (i, 1) if depth == 0 else (start, depth + 1)
-        elif ch == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                found.append(text[start : i + 1])
-                if not every:
-                    break
-    return found
+    found = [x for _, x in balanced_objects(text, to_the_first_gap=True)]
+    if not backward:
+        return found[0] if found else None
+    wanted = [x for x in found if prefer and prefer in x]
+    return (wanted or found)[-1] if found else None
+
+
+@F.udtf(returnType="place int, start int, object string")
+class BalancedObjects:
+    """A lateral table of a text's balanced objects, in order; none for null. start counts code points from 0."""
+
+    def eval(self, text: str):
+        for i, (at, found) in enumerate(balanced_objects(text or "")):
+            yield i, at, found
 
 
 def outer_object(x: Column, backward: bool = False, prefer: str = "") -> Column:

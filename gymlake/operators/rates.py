@@ -104,25 +104,32 @@ def nearest_rank(df: DataFrame, value: str, ranks: dict[str, float], order: Sequ
     return placed.groupBy(*keys).agg(*picks)
 
 
+#: Units of a bootstrap, at most: their differences are one array, which each task holds. They are tasks, already aggregated.
+MAX_UNITS = 1_000_000
+
+
 def bootstrap_means(pairs: DataFrame, resamples: int, seed: int = 0, unit: str = "task_id") -> DataFrame:
     """(resample, mean): means of `delta` over units drawn with replacement, from hashed draws.
 
-    Draw d of a resample takes the unit at position md5(seed|resample|d) mod n.
-    Units are few (they are tasks, already aggregated); rollouts never multiply.
+    Draw d of a resample takes the unit at position md5(seed|resample|d) mod n, by unit. A resample is one row, its draws a fold
+    over that row, so nothing is multiplied or shuffled but the array of units, which goes to each task. More than MAX_UNITS units
+    are an error; none give no means.
     """
-    placed = pairs.select(unit, "delta").withColumn("pos", F.row_number().over(Window.orderBy(unit)) - 1)
-    n = placed.agg(F.count("*").alias("n"))
-    draws = (
-        placed.sparkSession.range(resamples).withColumnRenamed("id", "resample")
-        .crossJoin(F.broadcast(n)).where("n > 0")
-        .select("resample", "n", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("draw"))
-    )
-    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = draws.select("resample", (digest % F.col("n")).cast("int").alias("pos"))
-    return drawn.join(placed.select("pos", "delta"), "pos").groupBy("resample").agg(F.avg("delta").alias("mean"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(unit, "delta"))), lambda x: x["delta"])
+    one = pairs.agg(listed.alias("d")).where(F.size("d") > 0)
+    n = F.size("d")
+    few = F.when(n <= MAX_UNITS, n).otherwise(F.raise_error(F.lit(f"more than {MAX_UNITS} units")).cast("int"))
+
+    def drawn(i: Column) -> Column:
+        digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long")
+        return F.element_at("d", (digest % F.col("n") + 1).cast("int"))
+
+    rows = pairs.sparkSession.range(resamples).withColumnRenamed("id", "resample").crossJoin(F.broadcast(one)).withColumn("n", few)  # one row
+    total = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0).cast("double"), lambda acc, i: acc + drawn(i))
+    return rows.select("resample", (total / F.col("n")).alias("mean"))
 
 
-def bootstrap_interval(pairs: DataFrame, resamples: int = 1000, seed: int = 0, alpha: float = 0.05, unit: str = "task_id") -> DataFrame:
+def bootstrap_interval(pairs: DataFrame, resamples: int = 10_000, seed: int = 0, alpha: float = 0.05, unit: str = "task_id") -> DataFrame:
     """One row: point, low, high, n_units. No units: zeros; one unit: (point, -1, 1)."""
     means = bootstrap_means(pairs, resamples, seed, unit)
     ends = nearest_rank(means, "mean", {"lo": alpha / 2, "hi": 1 - alpha / 2}, ["resample"])

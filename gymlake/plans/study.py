@@ -11,7 +11,7 @@ from gymlake.plans.rates import DISCORDANT_SQL, PAIRS_SQL, entry_pairs, pairs
 from gymlake.sources.tables import ROLLOUTS_SQL, rollouts
 
 QUERIES, ORACLES = {}, {}
-RESAMPLES = 200
+RESAMPLES = 10_000
 
 
 def query(sql: str | None):

@@ -147,6 +147,16 @@ def bounded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("conv_id", "turn", raw.alias("raw")).select("conv_id", "turn", score.alias("score"), error.alias("error"))
 
 
+@query("""select conv_id, turn, unnest([0, 1]) place, unnest(['{"turn":' || turn || ',"inner":{"s":"a } \\" b"}}', '{"n":' || length(coalesce(text, '')) || '}']) object from conversations""")
+def reply_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every balanced object of a reply as a row, behind braces that are never closed and with braces in its texts."""
+    words = F.translate(F.coalesce("text", F.lit("")), '{}"', "   ")
+    first = F.concat(F.lit('{"turn":'), F.col("turn").cast("string"), F.lit(',"inner":{"s":"a } \\" b"}}'))
+    raw = F.concat(F.lit("{ cut: { "), words, F.lit(' "quoted" '), first, F.lit(" "), words, F.lit('{"n":'), F.length(F.coalesce("text", F.lit(""))).cast("string"), F.lit("} {"))
+    t = turns(spark, sf_dir).select("conv_id", "turn", raw.alias("raw"))
+    return t.lateralJoin(X.BalancedObjects(F.col("raw").outer())).select("conv_id", "turn", "place", "object")
+
+
 _TAG = r"coalesce(nullif(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'general')"
 
 
