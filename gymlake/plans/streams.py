@@ -9,7 +9,7 @@ from gymlake.operators.enrich import enrich
 from gymlake.sources.scratch import scratch_folder
 from gymlake.sources.tables import ROLLOUTS_SQL, rollouts, table
 from gymlake.streaming import frontier as front
-from gymlake.streaming import queue
+from gymlake.streaming import iterations, queue
 
 QUERIES, ORACLES = {}, {}
 AXES = ("success", "robustness", "compactness")
@@ -64,3 +64,27 @@ def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     if left:
         raise RuntimeError(f"{left} cells of the grid have no result")
     return finished().groupBy(*keys).agg(F.first("reply").alias("reply"), F.count("*").alias("copies"))
+
+
+_TRIED = "list_filter({drops}, lambda d: (doc_id * 31 + d * 17) % 10 = 0)"
+
+
+@query(f"""
+with recursive e as (select doc_id, doc_id % 5 - doc_id % 3 worth from documents),
+r as (
+  select 0 iteration, []::int[] drops, avg(worth) utility, true kept, null::int restored, [avg(worth)] us, [[]::int[]] tried, count(*) n_entries from e
+  union all
+  select iteration + 1, next_drops, u, u + 0.01 >= list_max(us), case when u + 0.01 < list_max(us) then list_position(us, list_max(us)) - 1 end, list_append(us, u), list_append(tried, next_drops), n
+  from (select *, list_append(case when restored is not null then tried[restored + 1] else drops end, iteration + 1) next_drops from r where iteration < 12 and not (len(us) > 3 and list_max(us[-3:]) <= us[-4])),
+    lateral (select avg(worth) u, count(*) n from e where len({_TRIED.format(drops="next_drops")}) = 0))
+select iteration, utility, kept, restored, iteration = (select max(iteration) from r) stopped, n_entries from r""")
+def iterated_playbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A playbook cut again and again, each version measured, rolled back where it falls behind, until it stalls."""
+    folder = scratch_folder(spark)
+    i = F.col("doc_id")
+    entries = table(spark, sf_dir, "documents").select(i.alias("entry_id"), (i % 5 - i % 3).alias("worth"))
+    cut = lambda df, n: df.where((F.col("entry_id") * 31 + n * 17) % 10 != 0)
+    told = iterations.run(spark, folder, lambda: entries, cut, lambda df, n: df.agg(F.avg("worth")).first()[0], tolerance=0.01, patience=3, most=12)
+    number = F.regexp_extract("_metadata.file_path", r"/([0-9]+)/candidate/", 1).cast("int")
+    sizes = spark.read.schema(entries.schema).parquet(f"{folder}/*/candidate").select(number.alias("iteration")).groupBy("iteration").agg(F.count("*").alias("n_entries"))
+    return told.join(sizes, "iteration", "left").select("iteration", "utility", "kept", "restored", "stopped", F.coalesce("n_entries", F.lit(0)).alias("n_entries"))

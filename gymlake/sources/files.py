@@ -6,6 +6,10 @@ reads will do. Sinks use Spark's commit protocol: readers see whole results or n
 
 from __future__ import annotations
 
+import re
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,12 +102,55 @@ def read_playbooks(spark: SparkSession, path: str) -> DataFrame:
     return v.select("file", F.get_json_object(kept, "$.version").alias("version"), F.posexplode_outer(entries).alias("pos", "e")).select("file", "version", "pos", "e.*")
 
 
-def read_bank(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """<family>/gc<N>/*.json below root; corrupt files are skipped. Family and N come from the path, so a filter on them prunes files' rows early."""
-    df = spark.read.schema(schema + ", _corrupt string").option("multiLine", True).option("recursiveFileLookup", True).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(root)
-    place = F.col("_metadata.file_path")
-    out = df.withColumn("tool_family", F.regexp_extract(place, r"/([^/]+)/gc\d+/[^/]+$", 1)).withColumn("gc", F.regexp_extract(place, r"/gc(\d+)/[^/]+$", 1).try_cast("int"))
-    return out.where(F.col("_corrupt").isNull()).drop("_corrupt")
+def _as_it_is(name: str) -> str:
+    """A name for use in a glob."""
+    return re.sub(r"([\\{}\[\]*?,^-])", r"\\\1", name)
+
+
+def read_bank(spark: SparkSession, root: str, schema: str, families: list[str] | None = None, gcs: list[int] | None = None, lines: bool = False) -> DataFrame:
+    """Tasks of <family>/gc<N>/*.json below root, with tool_family and gc from the path; corrupt files are skipped.
+
+    Only the folders of the families and sizes that are asked for are listed and read; no folder that matches gives no rows. A file
+    holds one task, or with `lines` one in each line.
+    """
+    one_of = lambda names: "{" + ",".join(names) + "}"
+    family = "*" if families is None else one_of(map(_as_it_is, families))
+    pattern = f"{root}/{family}/{'gc*' if gcs is None else one_of(f'gc{n}' for n in gcs)}"
+    full = f"{schema}, _corrupt string"
+    nothing = (families is not None and not families) or (gcs is not None and not gcs)
+    folders = [] if nothing else glob_paths(spark, pattern)
+    if not folders:
+        df = spark.createDataFrame([], full).withColumn("_path", F.lit(""))
+    else:
+        df = spark.read.schema(full).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json([_as_it_is(f) for f in folders])
+        df = df.withColumn("_path", F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))))
+    name = F.regexp_extract("_path", r"/([^/]+)/gc\d+/[^/]+$", 1)
+    out = df.withColumn("tool_family", F.nullif(name, F.lit(NO_FAMILY))).withColumn("gc", F.regexp_extract("_path", r"/gc(\d+)/[^/]+$", 1).try_cast("int"))
+    return out.where(F.col("_corrupt").isNull()).drop("_corrupt", "_path")
+
+
+#: The folder of tasks without a family.
+NO_FAMILY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_bank(tasks: DataFrame, root: str) -> None:
+    """Tasks (tool_family, gc and others) as <family>/gc<N>/*.json, a task a line; a folder that is there is replaced as a whole.
+
+    Spark writes all folders aside; then each moves to its place.
+    """
+    spark = tasks.sparkSession
+    aside = f"{root}/_aside-{uuid.uuid4().hex}"
+    tasks.write.partitionBy("tool_family", "gc").json(aside)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    store = path(aside).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in glob_paths(spark, f"{_as_it_is(aside)}/tool_family=*/gc=*"):  # a folder per family and size
+        family, gc = (part.split("=", 1)[1] for part in found.rsplit("/", 2)[1:])
+        target = path(f"{root}/{unquote(family)}/gc{gc}")  # Spark escapes what it puts into folder names
+        store.mkdirs(target.getParent())
+        store.delete(target, True)
+        store.rename(path(found), target)
+    store.delete(path(aside), True)
 
 
 def read_first_row(spark: SparkSession, path: str) -> DataFrame:
