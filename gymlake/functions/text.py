@@ -88,7 +88,8 @@ SPOKEN = (
 
 
 def boxed_choice(x: Column) -> Column:
-    """A or B; null where the text settles on neither."""
+    """A or B, once the thinking is removed; null where the text settles on neither."""
+    x = strip_thinking(x)
     boxed = [F.try_element_at(F.regexp_extract_all(x, F.lit(p), F.lit(1)), F.lit(-1)) for p in BOXED]
     spoken = [F.nullif(F.regexp_extract(x, p, 1), F.lit("")) for p in SPOKEN]
     return F.upper(F.coalesce(*boxed, *spoken))
@@ -259,6 +260,18 @@ class BalancedObjects:
             yield i, at, found
 
 
+def greedy_object(x: Column) -> Column:
+    """From the first opening brace to the last closing one, once the thinking is removed; null where there are none."""
+    clean = strip_thinking(x)
+    return F.nullif(F.regexp_extract(clean, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def stable_id(prefix: str, *key: Column) -> Column:
+    """An id of twelve hex digits that follows from the key: rows that agree in it have one id, nulls are told from empty texts."""
+    parts = [F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("-")) for k in key]
+    return F.concat(F.lit(f"{prefix}-"), F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 12))
+
+
 def outer_object(x: Column, backward: bool = False, prefer: str = "") -> Column:
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

@@ -205,6 +205,12 @@ def edit_playbook(entries: list[dict], ops: list[dict]) -> tuple[list[dict], lis
     return [book[at] for at in sorted(book)], outcomes
 
 
+def change_count(outcomes: Column, merged: Column) -> Column:
+    """Changes of a batch: added, updated, merged and removed ones, where a merge also removes the entries it takes in (`merged`, their number)."""
+    done = F.filter(outcomes, lambda o: o.isin("added", "updated", "merged", "removed"))
+    return F.size(done) + F.coalesce(merged, F.lit(0))
+
+
 def apply_edits(entries: DataFrame, ops: DataFrame) -> DataFrame:
     """Edited playbooks, an entry a row, with the outcomes of the batch as JSON in the first one. A playbook, one file of rules, is one group."""
 

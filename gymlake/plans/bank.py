@@ -126,7 +126,8 @@ def eval_set_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {BANK_SQL}, r as (select *, {_REASON} reason from bank) select task_id, md5('7|' || task_id) draw from r where reason is null order by draw limit 20")
 def eval_set_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = bank(spark, sf_dir).withColumn("seen", F.col("task_id") % 10 == 0)
-    return tasks.where(reject_reason(SCREENER, 0.2, 0.6).isNull()).select("task_id", seeded(7, "task_id").alias("draw")).orderBy("draw").limit(20)
+    chosen = tasks.where(reject_reason(SCREENER, 0.2, 0.6).isNull()).select("task_id", seeded(7, "task_id").alias("draw")).orderBy("draw").limit(20)
+    return at_least(chosen, 1)
 
 
 @query(f"""with {BANK_SQL}, g as (select task_id, case when baseline_pass_rate = 1 then 'ceiling' when baseline_pass_rate = 0 then 'floor' else 'band' end "group" from bank where baseline_pass_rate is not null)

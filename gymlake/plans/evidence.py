@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from gymlake.functions import state as S
 from gymlake.functions.json_schema import schema_problems as problems_of
 from gymlake.operators import folds
+from gymlake.operators.verdicts import with_verdicts
 from gymlake.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -117,6 +118,37 @@ def step_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.step_verdicts(folded(spark, sf_dir), ["conv_id"], STEPWISE, NOTES)
 
 
+@query(f"""with {_TURNS}, e as (select * from states qualify row_number() over (partition by conv_id order by place desc) = 1),
+f as (select conv_id % 5 task, content is not null kept, coalesce(content <> '', false) filled, coalesce(list_contains(tags, 'user'), false) asked from e)
+select task, count(*) n, avg((kept and filled and asked)::int) pass_rate, count(*) filter (where not kept) kept_failed, count(*) filter (where not filled) filled_failed, count(*) filter (where not asked) asked_failed,
+  count(*) filter (where not kept and filled and asked) only_kept, count(*) filter (where kept and not filled and asked) only_filled, count(*) filter (where kept and filled and not asked) only_asked, count(*) filter (where not kept) unevaluable
+from f group by task""")
+def clause_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which clauses of a checker fail on final states, which one alone, and how often one could not be evaluated, by task."""
+    last = folded(spark, sf_dir).select("conv_id", F.element_at("states", -1)["state"].alias("state"))
+    judged = with_verdicts(last, STEPWISE, NOTES)
+    names = ("kept", "filled", "asked")
+    alone = lambda n: F.count_if(~F.col(n) & F.forall(F.array(*[F.col(m) for m in names if m != n]), lambda v: v)).alias(f"only_{n}")
+    return judged.groupBy((F.col("conv_id") % 5).alias("task")).agg(
+        F.count("*").alias("n"), F.avg((F.col("kept") & F.col("filled") & F.col("asked")).cast("int")).alias("pass_rate"),
+        *[F.count_if(~F.col(n)).alias(f"{n}_failed") for n in names], *[alone(n) for n in names], F.count_if(F.col("filled_error").isNotNull()).alias("unevaluable"),
+    )
+
+
+@query(f"""with {_TURNS}, n as (select conv_id, max(place) top from states group by conv_id),
+b as (select conv_id, content b from states join n using (conv_id) where place = top // 2), f as (select conv_id, content f from states join n using (conv_id) where place = top),
+v as (select conv_id, coalesce(b <> '', false) base, coalesce(f <> '', false) final, case when b is null then 'checker_raised:IndexError' end base_reason, case when f is null then 'checker_raised:IndexError' end final_reason from b join f using (conv_id))
+select *, final and not base genuinely_improved, base and not final regressed from v""")
+def paired_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checker that can raise, judged with its reason on the state halfway and on the last one; what improved and what regressed."""
+    states = folded(spark, sf_dir).select("conv_id", F.element_at("states", (F.floor((F.size("states") - 1) / 2) + 1).cast("int"))["state"].alias("half"), F.element_at("states", -1)["state"].alias("last"))
+    both = states.select("conv_id", F.explode(F.array(F.struct(F.lit("base").alias("when"), F.col("half").alias("state")), F.struct(F.lit("final").alias("when"), F.col("last").alias("state")))).alias("x")).select("conv_id", "x.*")
+    judged = with_verdicts(both, {"filled": STEPWISE["filled"]}, NOTES)
+    of = lambda when, c: F.max(F.when(F.col("when") == when, F.col(c)))
+    out = judged.groupBy("conv_id").agg(of("base", "filled").alias("base"), of("final", "filled").alias("final"), of("base", "filled_error").alias("base_reason"), of("final", "filled_error").alias("final_reason"))
+    return out.withColumn("genuinely_improved", F.col("final") & ~F.col("base")).withColumn("regressed", F.col("base") & ~F.col("final"))
+
+
 def _of(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, t) for k, t in fields.items()])
 

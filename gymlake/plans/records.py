@@ -9,6 +9,7 @@ from gymlake.functions import predicates as P
 from gymlake.functions import state as S
 from gymlake.functions import text as X
 from gymlake.operators import prompts as J
+from gymlake.operators.verdicts import with_verdicts
 from gymlake.plans.states import NOTES, typed_states
 from gymlake.sources import catalog as C
 from gymlake.sources.tables import table
@@ -89,23 +90,28 @@ def parsed_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("select unnest(['clean', 'initially_true', 'leaks', 'reads_unknown', 'tautology', 'unknown_tool']) checker, unnest([false, true, false, false, true, false]) initially_satisfied, unnest([[], [], ['leak'], ['unknown:zzz', 'raises:KeyError'], ['tautology'], ['unknown:size']]) problems")
+@query("""with d as (select case when doc_id % 3 = 0 then 0 else 1 + doc_id % 3 end n from documents)
+select checker, problems, n_initially from (values ('clean', []::varchar[], (select count(*) from d where n = 2)), ('initially_true', [], (select count(*) from d where n = 0)), ('leaks', ['leak'], 0), ('reads_unknown', ['unknown:zzz', 'raises:KeyError'], 0),
+  ('tautology', ['tautology'], (select count(*) from d)), ('unknown_tool', ['unknown:size'], 0)) t(checker, problems, n_initially)""")
 def predicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checkers against their family: keys outside its vocabulary, leaked wording, tautologies, and truth before any step."""
+    """Checkers against their family: keys outside its vocabulary, leaked wording, tautologies, and of how many initial states they already hold."""
     checkers = {
         "clean": "len(state['notes']) == 2", "initially_true": "len(state['notes']) == 0", "leaks": "state['notes'][0]['title'] == 'write this exact and very long sentence'",
         "reads_unknown": "state['zzz'] == 1", "tautology": "state['notes'] == [] or state['notes'] != []", "unknown_tool": "state['notes'][0].get('size') == 3",
     }
     known = {"notes", "title", "content", "tags"} | {p for _, f, ps in C.TOOLS if f == "mcp_notes" for p in ps.split()}
-    initial = F.from_json(F.lit('{"notes":[]}'), NOTES)
-    rows, columns = [], []
+    rows = []
     for name, p in sorted(checkers.items()):
-        c = P.compile_predicate(p, NOTES, state=F.col("initial"))
-        problems = [f"unknown:{k}" for k in sorted(P.keys_read(p) - known)] + (["raises:KeyError"] if c.reason == "checker_raised:KeyError" else []) + ["leak"] * bool(P.long_literals(p)) + ["tautology"] * P.is_tautology(p)
+        reason = P.compile_predicate(p, NOTES, state=F.lit(None)).reason
+        problems = [f"unknown:{k}" for k in sorted(P.keys_read(p) - known)] + (["raises:KeyError"] if reason == "checker_raised:KeyError" else []) + ["leak"] * bool(P.long_literals(p)) + ["tautology"] * P.is_tautology(p)
         rows.append((name, problems))
-        columns.append(F.struct(F.lit(name).alias("checker"), c.column.alias("initially_satisfied")))
-    truth = spark.range(1).select(initial.alias("initial")).select(F.explode(F.array(*columns)).alias("x")).select("x.*")
-    return truth.join(F.broadcast(spark.createDataFrame(rows, "checker string, problems array<string>")), "checker")  # a row per checker
+    i = F.col("doc_id")
+    note = F.struct(F.col("source").alias("title"), F.lit("c").alias("content"), F.array(F.lit("x")).alias("tags"))
+    notes = F.array_repeat(note, F.when(i % 3 == 0, 0).otherwise(1 + i % 3).cast("int"))
+    initial = table(spark, sf_dir, "documents").select(F.struct(notes.alias("notes")).cast(NOTES).alias("state"))
+    held = with_verdicts(initial, checkers, NOTES).agg(*[F.count_if(n).alias(n) for n in checkers])
+    truth = held.select(F.explode(F.array(*[F.struct(F.lit(n).alias("checker"), F.col(n).alias("n_initially")) for n in checkers])).alias("x")).select("x.*")
+    return truth.join(spark.createDataFrame(rows, "checker string, problems array<string>"), "checker")  # a row per checker
 
 
 @query("select doc_id, case when doc_id % 5 = 4 then 2 when doc_id % 5 = 3 then 0 else 2 end n_after, case when doc_id % 5 in (3, 4) then doc_id % 5 = 4 else true end has_food from documents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gymlake.functions import text as X
@@ -93,10 +93,18 @@ def server_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size(tools).alias("n_tools"), F.coalesce((F.size(tools) > 0) & F.forall(tools, own), F.lit(False)).alias("all_default"), (~F.arrays_overlap(names, F.array(F.lit("de")))).alias("none_excluded"))
 
 
-@query("select unnest(['code_repo', 'mcp_api', 'terminal_ops', 'web_research']) family, unnest([5, 5, 6, 5])::bigint n_tools, unnest([5, 4, 5, 5])::bigint n_safe, unnest([false, false, false, true]) held_out")
+_TOOLS_SQL = ", ".join(f"('{n}', '{f}', {i})" for i, (n, f, _) in enumerate(C.TOOLS))
+
+
+@query(f"""with tools(name, family, i) as (values {_TOOLS_SQL}), c as (select event_id % {len(C.TOOLS)} i, count(*) n from events group by 1)
+select family, count(*) n_tools, count(*) filter (where name not in ({", ".join(f"'{d}'" for d in C.DESTRUCTIVE)})) n_safe, family = '{C.HELD_OUT_FAMILY}' held_out, coalesce(sum(n), 0)::bigint n_calls from tools left join c using (i) group by family""")
 def tool_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = C.tools(spark)
-    return t.groupBy("family").agg(F.count("*").alias("n_tools"), F.count_if(~F.col("name").isin(*C.DESTRUCTIVE)).alias("n_safe")).withColumn("held_out", F.col("family") == C.HELD_OUT_FAMILY)
+    """Families with their tools, which of them destroy nothing, and how often they are called."""
+    named = F.element_at(F.array(*[F.lit(n) for n, _, _ in C.TOOLS]), (F.col("event_id") % len(C.TOOLS) + 1).cast("int"))
+    calls = table(spark, sf_dir, "events").groupBy(named.alias("name")).agg(F.count("*").alias("n"))
+    t = C.tools(spark).join(calls, "name", "left")
+    out = t.groupBy("family").agg(F.count("*").alias("n_tools"), F.count_if(~F.col("name").isin(*C.DESTRUCTIVE)).alias("n_safe"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_calls"))
+    return out.withColumn("held_out", F.col("family") == C.HELD_OUT_FAMILY)
 
 
 def family_overlap(train: DataFrame, held: DataFrame) -> DataFrame:
@@ -106,6 +114,16 @@ def family_overlap(train: DataFrame, held: DataFrame) -> DataFrame:
     return names.crossJoin(keys).withColumn("isolated", (F.col("name_overlap") == 0) & (F.col("key_overlap") == 0))  # one row each
 
 
+def family_overlaps(tools: DataFrame) -> DataFrame:
+    """The same for every family held out against all others (held, name_overlap, key_overlap, isolated); null names and keys count for nothing."""
+    shared = lambda c, name: (
+        tools.select("family", c.alias("x")).where("x is not null").distinct().withColumn("n", F.count("*").over(Window.partitionBy("x"))).where("n > 1").groupBy("family").agg(F.count("*").alias(name))
+    )  # a value is one row per family that has it
+    out = tools.select("family").distinct().join(shared(F.col("name"), "name_overlap"), "family", "left").join(shared(F.explode("params"), "key_overlap"), "family", "left")
+    a, b = F.coalesce("name_overlap", F.lit(0)), F.coalesce("key_overlap", F.lit(0))
+    return out.select(F.col("family").alias("held"), a.alias("name_overlap"), b.alias("key_overlap"), ((a == 0) & (b == 0)).alias("isolated"))
+
+
 def assert_isolated(train: DataFrame, held: DataFrame) -> None:
     """Raise where training would show tools of the held-out family."""
     found = family_overlap(train, held).first()
@@ -113,12 +131,14 @@ def assert_isolated(train: DataFrame, held: DataFrame) -> None:
         raise ValueError(f"families share {found['name_overlap']} tool names and {found['key_overlap']} parameter keys")
 
 
-@query("select 0::bigint name_overlap, 0::bigint key_overlap, true isolated")
+@query(f"""with k as (select distinct kind from items where kind is not null),
+n as (select k.kind, count(distinct t.name) o from k join items h on h.kind = k.kind join items t on t.name = h.name and t.kind <> k.kind group by k.kind),
+p as (select kind, unnest([brand, 'size' || size // 10]) p from items), q as (select h.kind, count(distinct h.p) o from p h join p t on t.p = h.p and t.kind <> h.kind group by h.kind)
+select kind held, coalesce(n.o, 0) name_overlap, coalesce(q.o, 0) key_overlap, n.o is null and q.o is null isolated from k left join n using (kind) left join q using (kind)""")
 def family_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether training families share a tool name or a parameter key with the held-out one."""
-    t = C.tools(spark)
-    train, held = t.where(F.col("family") != C.HELD_OUT_FAMILY), t.where(F.col("family") == C.HELD_OUT_FAMILY)
-    return family_overlap(train, held)
+    """For each kind of items, held out as a family: the names and parameter keys that it shares with the others."""
+    i = table(spark, sf_dir, "items").where(F.col("kind").isNotNull()).select(F.col("kind").alias("family"), "name", F.array("brand", F.concat(F.lit("size"), F.floor(F.col("size") / 10).cast("string"))).alias("params"))
+    return family_overlaps(i)
 
 
 @query("select doc_id, case when doc_id % 3 = 2 then 3 else 4 end lo, case when doc_id % 3 = 2 then 3 else 4 end hi from documents")

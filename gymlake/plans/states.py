@@ -141,10 +141,17 @@ def checker_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_verdicts(full, PREDICATES, NOTES).select("doc_id", *PREDICATES, "past_the_end_error")
 
 
-@query("select unnest(['has_food', 'renamed', 'tag_or_none', 'two_notes', 'undeclared', 'unsafe', 'past_the_end', 'not_past_the_end', 'distinct_titles']) predicate, unnest([null, null, null, null, 'checker_raised:KeyError', 'checker_unsafe:call', null, null, null]) reason, unnest([1, 1, 1, 2, 1, 1, 1, 1, 1]) n_clauses")
+_HOLDS = {"has_food": "k <> 3", "two_notes": "k <> 3", "renamed": "k <> 4", "undeclared": "false", "unsafe": "false", "past_the_end": "k <> 3", "not_past_the_end": "k <> 3", "distinct_titles": "true", "tag_or_none": "k <> 4"}
+_AUDITED = ", ".join(f"('{n}', {'null' if n not in ('undeclared', 'unsafe') else repr({'undeclared': 'checker_raised:KeyError', 'unsafe': 'checker_unsafe:call'}[n])}, {2 if n == 'two_notes' else 1}, (select count(*) from c where {p}))" for n, p in _HOLDS.items())
+
+
+@query(f"with c as (select doc_id % 5 k from documents) select * from (values {_AUDITED}) t(predicate, reason, n_clauses, n_true)")
 def checker_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkers with their static reason and number of clauses, and on how many states each holds."""
     rows = [(n, P.compile_predicate(p, NOTES, state=F.lit(None)).reason, len(P.conjuncts(p))) for n, p in PREDICATES.items()]
-    return spark.createDataFrame(rows, "predicate string, reason string, n_clauses int")
+    held = checker_verdicts(spark, sf_dir).agg(*[F.count_if(n).alias(n) for n in PREDICATES])
+    counts = held.select(F.explode(F.array(*[F.struct(F.lit(n).alias("predicate"), F.col(n).alias("n_true")) for n in PREDICATES])).alias("x")).select("x.*")
+    return spark.createDataFrame(rows, "predicate string, reason string, n_clauses int").join(counts, "predicate")  # a row per checker
 
 
 @query("""with c as (select doc_id % 5 k, lang from documents)

@@ -153,16 +153,23 @@ def coverage_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("warns", (F.col("n_shared") < F.col("n_base")) | (F.col("n_shared") < F.col("n_final")))
 
 
-@query(f"""with {ROLLOUTS_SQL}, x as (select arm, count(*) filter (where verdict) passed, count(*) total, round(count(*) filter (where verdict) / cast(count(*) as double), 6) reported from rollouts group by arm)
-select arm, passed, total, abs(passed / cast(total as double) - reported) > 1e-6 mismatch from x""")
+@query(f"""with {ROLLOUTS_SQL}, x as (select task_id, arm, count(*) filter (where verdict) passed, count(*) total from rollouts group by 1, 2)
+select task_id, arm, passed, total, abs(passed / cast(total as double) - round(passed / cast(total as double), 2)) > 1e-6 mismatch from x""")
 def accuracy_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recomputed accuracy against the reported one, here rounded to six places."""
-    x = rollouts(spark, sf_dir).groupBy("arm").agg(F.count_if("verdict").alias("passed"), F.count("*").alias("total"))
+    """Recomputed accuracy of each task and arm against the reported one, here one that was rounded to two places, so that some differ."""
+    x = rollouts(spark, sf_dir).groupBy("task_id", "arm").agg(F.count_if("verdict").alias("passed"), F.count("*").alias("total"))
     accuracy = F.col("passed") / F.col("total").cast("double")
-    return x.select("arm", "passed", "total", (F.abs(accuracy - F.round(accuracy, 6)) > 1e-6).alias("mismatch"))
+    return x.select("task_id", "arm", "passed", "total", (F.abs(accuracy - F.round(accuracy, 2)) > 1e-6).alias("mismatch"))
 
 
-@query("select p, case p when 0.001 then -3.090232 when 0.025 then -1.959964 when 0.5 then 0 when 0.9 then 1.281552 when 0.975 then 1.959964 end::double z from (values (0.001::double), (0.025), (0.5), (0.9), (0.975)) t(p)")
+_Z = {0.1: -1.281552, 0.2: -0.841621, 0.3: -0.524401, 0.4: -0.253347, 0.5: 0.0, 0.6: 0.253347, 0.7: 0.524401, 0.8: 0.841621, 0.9: 1.281552, 0.975: 1.959964, 0.025: -1.959964}
+_P = "case when k % 50 = 0 then 0.025 when k % 50 = 1 then 0.975 else (1 + k % 9) / 10.0 end"
+
+
+@query(f"with {ROLLOUTS_SQL}, q as (select ({_P})::double p from rollouts where k is not null) select p, case {' '.join(f'when abs(p - {p}) < 1e-9 then {z}' for p, z in _Z.items())} end::double z, count(*) n from q group by p")
 def normal_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.createDataFrame([(0.001,), (0.025,), (0.5,), (0.9,), (0.975,)], "p double")
-    return grid.select("p", F.round(normal_quantile(F.col("p")), 6).alias("z"))
+    """The normal quantile of each rollout's level, by level."""
+    k = F.col("k")
+    level = F.when(k % 50 == 0, 0.025).when(k % 50 == 1, 0.975).otherwise((1 + k % 9) / F.lit(10.0))
+    levels = rollouts(spark, sf_dir).where(k.isNotNull()).groupBy(level.cast("double").alias("p")).agg(F.count("*").alias("n"))
+    return levels.select("p", F.round(normal_quantile(F.col("p")), 6).alias("z"), "n")

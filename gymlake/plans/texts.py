@@ -147,6 +147,28 @@ def bounded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("conv_id", "turn", raw.alias("raw")).select("conv_id", "turn", score.alias("score"), error.alias("error"))
 
 
+@query(r"""with x as (select conv_id, turn, 'a {"n":' || turn || '} ' || coalesce(text, '') || case when turn % 3 = 2 then '' else ' {"m":' || conv_id || '} z' end raw from conversations)
+select conv_id, turn, regexp_extract(raw, '(?s)\{.*\}') object, 'reply-' || left(md5('=' || conv_id || chr(31) || '=' || turn), 12) reply_id from x""")
+def greedy_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The simple reading of a reply's object, behind thinking that holds one too; replies by a stable id."""
+    t, c = F.col("turn"), F.col("conv_id").cast("string")
+    body = F.concat(F.lit('a {"n":'), t.cast("string"), F.lit("} "), F.coalesce("text", F.lit("")), F.when(t % 3 == 2, "").otherwise(F.concat(F.lit(' {"m":'), c, F.lit("} z"))))
+    raw = F.when(t % 3 == 0, F.concat(F.lit("<think>{no</think>"), body)).otherwise(body)
+    return turns(spark, sf_dir).select("conv_id", "turn", X.greedy_object(raw).alias("object"), X.stable_id("reply", F.col("conv_id"), t).alias("reply_id"))
+
+
+@query(r"""with x as (select conv_id, turn, case conv_id % 4 when 0 then 'B' when 1 then 'A' when 2 then null else case when turn % 2 = 0 then 'A' else 'B' end end choice from conversations)
+select conv_id, turn, choice, case when choice = 'A' then 1.0 else 0.0 end::double reward from x""")
+def reasoned_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A choice is what follows the thinking: a letter boxed within it is none."""
+    k, letter = F.col("conv_id") % 4, F.when(F.col("turn") % 2 == 0, "a").otherwise("b")
+    raw = (
+        F.when(k == 0, r"<think>\boxed{A}</think> then \boxed{ b }").when(k == 1, r"<think>first \boxed{B} <think>or \boxed{B}</think></think>The answer is **A")
+        .when(k == 2, r"<think>\boxed{A}").otherwise(F.concat(F.lit(r"\boxed{B} lost</think> so \boxed{A} no, \boxed{"), letter, F.lit("}")))
+    )
+    return turns(spark, sf_dir).select("conv_id", "turn", X.boxed_choice(raw).alias("choice")).withColumn("reward", X.choice_reward(F.col("choice")))
+
+
 @query("""select conv_id, turn, unnest([0, 1]) place, unnest(['{"turn":' || turn || ',"inner":{"s":"a } \\" b"}}', '{"n":' || length(coalesce(text, '')) || '}']) object from conversations""")
 def reply_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every balanced object of a reply as a row, behind braces that are never closed and with braces in its texts."""
