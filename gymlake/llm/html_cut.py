@@ -50,21 +50,31 @@ CONTENT_TAG = frozenset("article main".split())
 BOILER_WORD = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments disqus cookie cookies consent copyright footer foot gdpr header masthead menu menubar nav navbar navigation newsletter notice notices notification outbrain pagination pager popup promo promotion recommended related reply replies respond respondents search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola tags toolbar topbar widget widgets login alert modal contentinfo complementary discussion reactions".split()
 )
+#: Elements that some pages wrap around everything.
+WRAPPER_TAG = frozenset("form header fieldset".split())
+#: Words that make a class name speak of a state (no-ads, comments-open) and not of what the element is.
+STATE_WORD = frozenset("with without no not has have is are enabled disabled enable disable open opened closed on off show shown hide supports support".split())
 CONTENT_WORD = frozenset("article articlebody body content entry main maincontent post postbody story text".split())
 WORD_SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 SENTENCE = re.compile(r"[.!?。]")
 
 
+#: What an element is by itself: content; neither; boilerplate; the same, but void around the page's content; the same, and void within content.
+CONTENT, NEITHER, BOILER, WRAPPER, HEADER = 1, 0, -1, -2, -3
+
+
 class _Element:
-    """An open element: what its blocks inherit. `up` is the element around it."""
+    """An open element: what its blocks inherit. `up` is the element around it, own what it is by itself, mark 1 for content, -1 for
+    boilerplate, 0 for neither. prose and articles: characters of sentences inside, and article or main elements that are content."""
 
-    __slots__ = ("name", "number", "up", "depth", "mark", "dropped", "link", "heading")
+    __slots__ = ("name", "number", "up", "depth", "own", "mark", "dropped", "link", "heading", "prose", "articles")
 
-    def __init__(self, name: str, number: int, up: _Element | None, mark: int = 0, dropped: bool = False):
-        self.name, self.number, self.up, self.mark, self.dropped = name, number, up, mark, dropped
+    def __init__(self, name: str, number: int, up: _Element | None, own: int = NEITHER, dropped: bool = False):
+        self.name, self.number, self.up, self.own, self.mark, self.dropped = name, number, up, own, 0, dropped
         self.depth = up.depth + 1 if up else 0
         self.link = name == "a" or up is not None and up.link
         self.heading = name in HEADING or up is not None and up.heading
+        self.prose, self.articles = 0, int(own == CONTENT and name in CONTENT_TAG)
 
 
 @dataclass(slots=True)
@@ -83,28 +93,56 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
-def _marked(name: str, attributes: str, up: _Element) -> tuple[int, bool]:
-    """(mark: 1 content, -1 boilerplate, 0 neither; whether the element is never text), with what it inherits."""
-    mark, dropped = up.mark, up.dropped or name in DROPPED
-    if name in CONTENT_TAG and mark == 0:
-        mark = 1
-    elif name in BOILER_TAG and not (name in ("header", "address") and mark == 1):
-        mark = -1
-    if attributes and "=" in attributes and name not in ("body", "html"):
-        words = {w.lower() for m in HINT.finditer(attributes) for value in m.groups() if value for w in WORD_SPLIT.split(value)}
-        if words & BOILER_WORD:
-            mark = -1
-        elif words & CONTENT_WORD and mark == 0:
-            mark = 1
+def _named(attributes: str) -> int:
+    """What an element is by the words of its class, id and the like. Names of states say nothing."""
+    words: set[str] = set()
+    for m in HINT.finditer(attributes):
+        for token in " ".join(v for v in m.groups() if v).split():
+            own = {w.lower() for w in WORD_SPLIT.split(token)}
+            if not own & STATE_WORD:
+                words |= own
+    return WRAPPER if words & BOILER_WORD else CONTENT if words & CONTENT_WORD else NEITHER
+
+
+def _own(name: str, attributes: str, up: _Element) -> tuple[int, bool]:
+    """(what an element is by itself, whether it is never text)."""
+    own, dropped = NEITHER, up.dropped or name in DROPPED
+    if name in CONTENT_TAG:
+        own = CONTENT
+    elif name in BOILER_TAG:
+        own = HEADER if name in ("header", "address") else WRAPPER if name in WRAPPER_TAG else BOILER
+    if attributes and "=" in attributes and name not in ("body", "html") and own != BOILER:
+        named = _named(attributes)
+        own = named if named == WRAPPER or own == NEITHER else own
     if attributes and MAY_HIDE.search(attributes) and _hidden(attributes):
         dropped = True
-    return mark, dropped
+    return own, dropped
+
+
+def _mark(elements: list[_Element], blocks: list[Block]) -> None:
+    """Set each element's mark, with what it inherits. Boilerplate of the lighter kinds is void around the page's content: where all
+    its article and main elements lie inside, or, if there are none, more than half of its prose."""
+    for b in blocks:
+        if SENTENCE.search(b.text):
+            b.element.prose += len(b.text) - b.link_chars
+    for e in reversed(elements):  # what lies inside comes later
+        if e.up is not None:
+            e.up.prose += e.prose
+            e.up.articles += e.articles
+    root = elements[0]
+    for e in elements[1:]:
+        own, around = e.own, e.up.mark
+        if own <= WRAPPER and (e.articles == root.articles if root.articles else 2 * e.prose > root.prose) or own == HEADER and around == 1:
+            own = NEITHER
+        e.mark = -1 if own < 0 else around or own
 
 
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order."""
     root = _Element("", 0, None)
-    stack, out, parts, numbers, link_chars = [root], [], [], 0, 0
+    stack, out, parts, link_chars, elements = [root], [], [], 0, [root]
+    places: dict[str, list[int]] = {}  # of the open elements of a name
+    blocks_open = [0]  # places of the open block elements, after the root's
 
     def flush() -> None:
         nonlocal parts, link_chars
@@ -117,9 +155,11 @@ def blocks_of(html: str) -> list[Block]:
                 out.append(Block(text, stack[-1], link_chars))
         parts, link_chars = [], 0
 
-    def close(index: int) -> None:
-        if any(e.name in BLOCK for e in stack[index:]):
-            flush()
+    def leave(index: int) -> None:
+        for e in stack[index:]:
+            places[e.name].pop()
+        while blocks_open[-1] >= index:
+            blocks_open.pop()
         del stack[index:]
 
     at, n = 0, len(html)
@@ -139,15 +179,13 @@ def blocks_of(html: str) -> list[Block]:
             continue
         name = name.lower()
         if m.group(1) or m.group(4):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    close(i)
-                    break
-                if name not in BLOCK and stack[i].name in BLOCK:
-                    break  # a stray inline end tag does not close blocks
-            else:
-                if name in BLOCK:
-                    flush()
+            index = places[name][-1] if places.get(name) else 0
+            if name in BLOCK:
+                flush()
+                if index:
+                    leave(index)
+            elif index > blocks_open[-1]:  # a stray inline end tag does not close blocks
+                leave(index)
             continue
         if name in VOID:
             if name in ("br", "wbr", "img"):
@@ -158,22 +196,22 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if name in BLOCK:
             flush()
-            if name in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name == "p" or stack[i].name == name and name in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                        del stack[i:]
-                        break
-                    if stack[i].name in BLOCK:
-                        break
+            inner = stack[blocks_open[-1]]
+            if name in CLOSES_P and inner is not root and (inner.name == "p" or inner.name == name and name in ("li", "dd", "dt", "tr", "td", "th")):
+                leave(blocks_open[-1])
         attributes = m.group(3) or m.group(6) or ""
         if attributes.endswith("/") and name not in BLOCK:
             continue
-        numbers += 1
-        stack.append(_Element(name, numbers, stack[-1], *_marked(name, attributes, stack[-1])))
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            blocks_open.append(len(stack))
+        stack.append(_Element(name, len(elements), stack[-1], *_own(name, attributes, stack[-1])))
+        elements.append(stack[-1])
         if name in RAW:
             end = re.compile(rf"</{name}", re.I).search(html, at)
             at = end.start() if end else n
     flush()
+    _mark(elements, out)
     return out
 
 

@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 import tracemalloc
 from html.parser import HTMLParser
 
 import pyarrow.parquet as pq
+import pytest
 
 from gymlake.llm.html_cut import BLOCK, DEFAULT, Model, block_costs, blocks_of, fit, label, main_text, minimum_cut, whole_cut
 
@@ -106,3 +108,40 @@ def test_memory_goes_with_the_page_not_with_its_depth():
     tracemalloc.stop()
     assert peak < 40 * len(html)
     assert fit([]).weights.tolist() == DEFAULT.weights.tolist() and fit([""]).weights.tolist() == DEFAULT.weights.tolist()
+
+
+PARAGRAPHS = [f"This is paragraph {w} of the article, and it goes on for a while. It has a second sentence, too, so that it is clearly prose and not a label." for w in ("one", "two", "three", "four")]
+ARTICLE = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+MENU = '<nav><a href="/a">Home</a> <a href="/b">About us</a></nav>'
+FOOT = "<footer>&copy; Example. All rights reserved.</footer>"
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="layout with-sidebar">{}</div>', '<div class="no-ads">{}</div>', '<div class="has-header">{}</div>', '<main class="post share-enabled">{}</main>', '<div class="post comments-open">{}</div>',
+    '<div class="related-articles-page">{}</div>', '<form id="aspnetForm" action="x">{}</form>', '<div id="comments-page"><article>{}</article></div>', '<div class="header-wrapper"><div class="share"><main>{}</main></div></div>',
+    "<article><header>{}</header></article>", '<section class="widget"><article class="post">{}</article></section>',
+])
+def test_wrappers_do_not_hide_the_article(page):
+    model = fit(PAGES)
+    html = f"<html><body>{MENU}{page.format(ARTICLE)}{FOOT}</body></html>"
+    assert main_text(html, model) == "\n\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("rest", [
+    '<div id="comments"><p>I liked this very much. It is the best that I have read. Thanks for it, and please write more of them.</p></div>' * 9, '<ol class="comment-list"><li><article class="comment-body"><p>I do not agree with this. It is wrong, and it is long. Please stop.</p></article></li></ol>' * 9,
+    '<aside><article><p>You may also like this one. It is about other things, and it is on another page.</p></article></aside>', '<div class="sidebar"><p>Subscribe to our letter. It comes once a week, and it is free of charge.</p></div>', '<form><p>Write to us. We answer within a week, mostly.</p></form>',
+    '<div class="cookie-notice"><p>We use cookies. By going on you agree to it, and to our terms of use.</p></div>', '<div class="top-ads"><p>Buy one now. It is cheap, and it is very good.</p></div>',
+])
+def test_what_stands_beside_the_article_stays_out(rest):
+    model = fit(PAGES)
+    assert main_text(f"<html><body>{MENU}<article>{ARTICLE}</article>{rest}{FOOT}</body></html>", model) == "\n\n".join(PARAGRAPHS)
+
+
+def test_open_elements_take_linear_time():
+    for part in ("<b><p>Some words of a paragraph.</p>", "<b></i><p>Words.</p>", "<div class=ad><p>Words.</p>", "<i></p>"):
+        times = []
+        for n in (4000, 16000):
+            start = time.perf_counter()
+            blocks_of(part * n)
+            times.append(time.perf_counter() - start)
+        assert times[1] < 12 * times[0] + 0.5, part
