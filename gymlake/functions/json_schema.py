@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REFUSED = ("unevaluatedProperties", "unevaluatedItems", "$dynamicRef", "$recursiveRef", "dependentSchemas")
@@ -22,28 +22,43 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+PARTS = ("v", "kind", "members", "items")
+
+
+def _parts(v: Column) -> dict[str, Column]:
+    """A VARIANT, what it is, and what it holds."""
+    members, items = F.try_variant_get(v, "$", "map<string,variant>"), F.try_variant_get(v, "$", "array<variant>")
+    kind = F.when(members.isNotNull(), "OBJECT").when(items.isNotNull(), "ARRAY").otherwise(F.schema_of_variant(v))
+    return {"v": v, "kind": kind, "members": members, "items": items}
+
+
 class Value:
-    """A VARIANT, what it is, and what it holds. JSON null is a value; an element of a list that is absent counts as null."""
+    """A VARIANT, what it is, and what it holds. JSON null is a value; an element of a list that is absent counts as null.
 
-    def __init__(self, seen: Column, path: Column):
-        self.v, kind, self.members, self.items, self.path = seen["v"], seen["kind"], seen["members"], seen["items"], path
-        self.is_object, self.is_array, self.is_string = kind.startswith("OBJECT"), kind.startswith("ARRAY"), kind == "STRING"
+    name: of its columns, for a value at a fixed place of the text; such values are columns of a table, the others are bound by
+    lambdas.
+    """
+
+    def __init__(self, seen: Callable[[str], Column], path: Column, name: str | None = None, once: Callable[[str, Column], Column] = lambda _, c: c):
+        self.once = once
+        self.v, kind, self.members, self.items, self.path, self.name = seen("v"), seen("kind"), seen("members"), seen("items"), path, name
+        self.is_object, self.is_array, self.is_string = kind == "OBJECT", kind == "ARRAY", kind == "STRING"
         self.is_boolean, self.is_null = kind == "BOOLEAN", kind == "VOID"
         self.is_number = kind.startswith("DECIMAL") | kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 
     @staticmethod
     def with_(v: Column, path: Column, body: Callable[[Value], Column]) -> Column:
         """body(Value), its parts read once."""
-        parts = F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "map<string,variant>").alias("members"), F.try_variant_get(v, "$", "array<variant>").alias("items"))
-        return _let(parts, lambda seen: body(Value(seen, path)))
+        bound = lambda one: _let(F.struct(*[c.alias(n) for n, c in _parts(one).items()]), lambda seen: body(Value(lambda part: seen[part], path)))
+        return _let(v, bound)
 
     @property
     def number(self) -> Column:
-        return F.try_variant_get(self.v, "$", "double")
+        return self.once("number", F.try_variant_get(self.v, "$", "double"))
 
     @property
     def text(self) -> Column:
-        return F.try_variant_get(self.v, "$", "string")
+        return self.once("text", F.try_variant_get(self.v, "$", "string"))
 
     def is_type(self, name: str) -> Column:
         if name == "integer":
@@ -72,8 +87,37 @@ def _only(where: Column, problems: Column) -> Column:
 
 
 class _Compiler:
-    def __init__(self, root: dict | bool):
+    """levels: the columns that values at fixed places need, by depth; each reads those of the level before."""
+
+    def __init__(self, root: dict | bool | None):
         self.root = root
+        self.levels: list[dict[str, Column]] = []
+        self.depth: dict[str, int] = {}
+        self.keys: dict[tuple[str, str], str] = {}
+
+    def key(self, parent: str, name: str) -> str:
+        """A column name for a property of a fixed value: the same for the same place."""
+        return self.keys.setdefault((parent, name), f"json{len(self.keys) + 1}")
+
+    def fixed(self, key: str, v: Column, path: Column, depth: int) -> Value:
+        """The value at a fixed place, in two levels of columns: itself, then what it holds."""
+        name = f"_{key}"
+        if name not in self.depth:
+            self.depth[name] = depth
+            while len(self.levels) < depth + 3:
+                self.levels.append({})
+            parts = _parts(F.col(f"{name}_v"))
+            self.levels[depth][f"{name}_v"] = v
+            self.levels[depth + 1] |= {f"{name}_members": parts["members"], f"{name}_items": parts["items"]}
+            kind = F.when(F.col(f"{name}_members").isNotNull(), "OBJECT").when(F.col(f"{name}_items").isNotNull(), "ARRAY").otherwise(F.schema_of_variant(F.col(f"{name}_v")))
+            self.levels[depth + 2][f"{name}_kind"] = kind
+
+
+        def once(part: str, c: Column) -> Column:
+            self.levels[self.depth[name] + 1][f"{name}_{part}"] = c
+            return F.col(f"{name}_{part}")
+
+        return Value(lambda part: F.col(f"{name}_{part}"), path, name, once)
 
     def resolve(self, ref: str) -> dict | bool:
         if not ref.startswith("#"):
@@ -169,12 +213,19 @@ class _Compiler:
         if "maxProperties" in schema:
             fails(x.is_object & (F.size(keys) > schema["maxProperties"]), "maxProperties")
         for name, s in schema.get("properties", {}).items():
-            own = lambda name=name, s=s: self.inside(s, F.try_element_at(x.members, F.lit(name)), F.concat(x.path, F.lit(f".{name}")), seen)
-            found.append(_only(F.coalesce(x.is_object & has(name), F.lit(False)), own()))
+            if s is True:
+                continue
+            v, path = F.try_element_at(x.members, F.lit(name)), F.concat(x.path, F.lit(f".{name}"))
+            if x.name is None:
+                own = self.inside(s, v, path, seen)
+            else:
+                own = self.problems(s, self.fixed(self.key(x.name, name), v, path, self.depth[x.name] + 2), seen)
+            found.append(_only(F.coalesce(x.is_object & has(name), F.lit(False)), own))
         each = lambda s, chosen: F.flatten(F.transform(F.map_entries(chosen), lambda e: self.inside(s, e["value"], F.concat(x.path, F.lit("."), e["key"]), seen)))
+        matches = lambda pattern: lambda k: k.rlike(pattern)
         like = lambda pattern: F.map_filter(x.members, lambda k, _: k.rlike(pattern))
         for pattern, s in schema.get("patternProperties", {}).items():
-            found.append(_only(F.coalesce(x.is_object, F.lit(False)), each(s, like(pattern))))
+            found.append(_only(F.coalesce(x.is_object & F.exists(keys, matches(pattern)), F.lit(False)), each(s, like(pattern))))
         if "additionalProperties" in schema:
 
             def extra(k: Column) -> Column:
@@ -183,10 +234,10 @@ class _Compiler:
                     out = out & ~k.rlike(pattern)
                 return out
 
-            rest = F.map_filter(x.members, lambda k, _: extra(k))
             if schema["additionalProperties"] is False:
-                fails(x.is_object & (F.size(F.map_keys(rest)) > 0), "additionalProperties")
-            else:
+                fails(x.is_object & F.exists(keys, extra), "additionalProperties")
+            elif schema["additionalProperties"] is not True:
+                rest = F.map_filter(x.members, lambda k, _: extra(k))
                 found.append(_only(F.coalesce(x.is_object, F.lit(False)), each(schema["additionalProperties"], rest)))
         if "propertyNames" in schema:
             text = lambda k: F.get(F.parse_json(F.to_json(F.array(k))).cast("array<variant>"), F.lit(0))
@@ -216,15 +267,26 @@ class _Compiler:
                 fails(x.is_array & (hits > schema["maxContains"]), "maxContains")
 
 
+def _judged(compiler: _Compiler, x: Value) -> Column:
+    inside = _empty() if compiler.root is None else compiler.problems(compiler.root, x)
+    return F.when(F.coalesce(~x.is_null, F.lit(False)), inside).otherwise(F.array(F.lit("$: not JSON")))
+
+
 def schema_problems(raw: Column, schema: dict | bool | None) -> Column:
     """Problems of a JSON text against a schema, as `path: keyword` in the schema's order; none: valid.
 
     Without a schema the text need only parse. A null text, one that is no JSON, and the bare `null` have the one problem `$: not JSON`.
     """
-    compiler = _Compiler(schema)
+    return Value.with_(F.try_parse_json(raw), F.lit("$"), lambda x: _judged(_Compiler(schema), x))
 
-    def judged(x: Value) -> Column:
-        inside = _empty() if schema is None else compiler.problems(schema, x)
-        return F.when(F.coalesce(~x.is_null, F.lit(False)), inside).otherwise(F.array(F.lit("$: not JSON")))
 
-    return Value.with_(F.try_parse_json(raw), F.lit("$"), judged)
+def with_schema_problems(df: DataFrame, raw: str, schema: dict | bool | None, name: str = "problems") -> DataFrame:
+    """df with the same as a column: parts at fixed places of the text are columns, level by level, so that they are read once, in
+    generated code. Columns of df that begin with `_json` are not touched, but may not be named like those."""
+    compiler = _Compiler(schema)
+    root = compiler.fixed("json", F.try_parse_json(raw), F.lit("$"), 0)
+    problems = _judged(compiler, root)
+    out = df
+    for level in compiler.levels:
+        out = out.select("*", *[c.alias(n) for n, c in level.items()])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], problems.alias(name))

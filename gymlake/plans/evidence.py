@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gymlake.functions import state as S
-from gymlake.functions.json_schema import schema_problems as problems_of
+from gymlake.functions.json_schema import with_schema_problems
 from gymlake.operators import folds
 from gymlake.operators.verdicts import with_verdicts
 from gymlake.sources.tables import table
@@ -63,7 +63,7 @@ select click_id, case when j is null then ['$: not JSON'] else list_sort(list_co
 from x""")
 def schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each click's properties against a schema; broken texts are no JSON."""
-    return table(spark, sf_dir, "clicks").select("click_id", F.array_sort(problems_of(F.col("props"), PROPS)).alias("problems"))
+    return with_schema_problems(table(spark, sf_dir, "clicks").select("click_id", "props"), "props", PROPS).select("click_id", F.array_sort("problems").alias("problems"))
 
 
 # What a turn's prediction says of the one note: lost, left out, said by the user, said by the agent.

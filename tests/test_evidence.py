@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gymlake.functions import state as S
-from gymlake.functions.json_schema import schema_problems
+from gymlake.functions.json_schema import schema_problems, with_schema_problems
 from gymlake.operators import folds
 from gymlake.plans.evidence import WORKSPACE
 
@@ -116,6 +116,8 @@ def test_schema_equals_its_model(spark, number):
     df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i long, raw string")
     got = {r[0]: sorted(r[1]) for r in df.select("i", schema_problems(F.col("raw"), SCHEMAS[number])).collect()}
     assert got == {i: sorted(model(SCHEMAS[number], v)) for i, v in enumerate(values)}
+    by_columns = with_schema_problems(df, "raw", SCHEMAS[number])
+    assert by_columns.columns == ["i", "raw", "problems"] and {r["i"]: sorted(r["problems"]) for r in by_columns.collect()} == got
 
 
 def test_references_parsing_and_refusals(spark):
