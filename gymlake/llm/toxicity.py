@@ -160,16 +160,23 @@ def _determinised(terms: list[tuple[str, bool]]) -> Automaton:
     return Automaton(letters, np.array([rows[i] for i in range(len(numbers))], np.int32), label, caught)
 
 
-def in_quotation(kind: np.ndarray, cuts: np.ndarray, place: np.ndarray, document: np.ndarray) -> np.ndarray:
+#: Marks that open by their form, where blanks or marks are on both sides, as in « term ».
+OPENING = "“„«"
+
+
+def in_quotation(kind: np.ndarray, codes: np.ndarray, cuts: np.ndarray, place: np.ndarray, document: np.ndarray) -> np.ndarray:
     """Whether places lie between an opening and a closing mark of one document with no other between, at most QUOTATION apart.
 
     A mark opens where a blank or mark is before it and none after, and closes the other way round; 5" does neither for what follows.
+    With such on both sides its form decides.
     """
     marks = np.flatnonzero(kind == QUOTE)
     padded = np.concatenate([[BLANK], kind, [BLANK]])
     before, after = padded[marks] < OTHER, padded[marks + 2] < OTHER
     edge = np.isin(marks, cuts), np.isin(marks + 1, cuts)
-    opens, closes = marks[(before | edge[0]) & ~(after | edge[1])], marks[~(before | edge[0]) | after | edge[1]]
+    free, bound = before | edge[0], after | edge[1]
+    opening = free & (~bound | np.isin(codes[marks], [ord(c) for c in OPENING]))
+    opens, closes = marks[opening], marks[~opening]
     last_open, last_close = (np.append(x, -1)[np.searchsorted(x, place) - 1] for x in (opens, closes))
     next_open, next_close = (np.append(x, len(kind) + 2 * QUOTATION)[np.searchsorted(x, place)] for x in (opens, closes))
     inside = (last_open > last_close) & (next_close < next_open) & (next_close - last_open <= QUOTATION)
@@ -222,7 +229,7 @@ def find_hits(automaton: Automaton, data: np.ndarray, offsets: np.ndarray) -> tu
         keep = np.ones(len(word), bool)
         keep[near] = ~np.array(known, bool)
         word, label, place, document = word[keep], label[keep], place[keep], document[keep]
-    quoted = in_quotation(kind, cuts, place, document)
+    quoted = in_quotation(kind, codes, cuts, place, document)
     return document, word, label, quoted, first
 
 

@@ -298,6 +298,7 @@ def test_quotation_needs_a_pair_of_marks_close_together():
     assert quoted_of('a 5" disk and you moron') == [False] and quoted_of('he said "you moron" and left, moron') == [True, False]
     assert quoted_of('"open moron') == [False] and quoted_of('moron close"') == [False]
     assert quoted_of("»du moron« und „moron“") == [True, True] and quoted_of('"moron"') == [True]
+    assert quoted_of("le mot « moron » et «\u00a0moron !\u00a0», moron") == [True, True, False] and quoted_of("» moron «") == [False]
     assert quoted_of('"' + "a " * 200 + 'moron"') == [False] and quoted_of('"one" moron "two"') == [False]
     automaton = toxicity.build_automaton([("moron", False)])
     data = np.frombuffer(b'say "moron" end', np.uint8)
