@@ -22,14 +22,19 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-PARTS = ("v", "kind", "members", "items")
+MAP, LIST = "map<string,variant>", "array<variant>"
+#: Keywords that look into objects and lists, and those that apply schemas to the value itself.
+OF_OBJECTS = frozenset("required dependentRequired minProperties maxProperties properties patternProperties additionalProperties propertyNames".split())
+OF_LISTS = frozenset("minItems maxItems uniqueItems prefixItems items contains".split())
+IN_PLACE = ("allOf", "anyOf", "oneOf", "not", "if", "then", "else")
 
 
-def _parts(v: Column) -> dict[str, Column]:
-    """A VARIANT, what it is, and what it holds."""
-    members, items = F.try_variant_get(v, "$", "map<string,variant>"), F.try_variant_get(v, "$", "array<variant>")
-    kind = F.when(members.isNotNull(), "OBJECT").when(items.isNotNull(), "ARRAY").otherwise(F.schema_of_variant(v))
-    return {"v": v, "kind": kind, "members": members, "items": items}
+def _kind(v: Column, members: Column | None, items: Column | None) -> Column:
+    """OBJECT..., ARRAY... or a scalar's type; what has been read as one of the first two is not looked through again."""
+    kind = F.schema_of_variant(v)
+    if items is not None:
+        kind = F.when(items.isNotNull(), "ARRAY").otherwise(kind)
+    return kind if members is None else F.when(members.isNotNull(), "OBJECT").otherwise(kind)
 
 
 class Value:
@@ -42,15 +47,20 @@ class Value:
     def __init__(self, seen: Callable[[str], Column], path: Column, name: str | None = None, once: Callable[[str, Column], Column] = lambda _, c: c):
         self.once = once
         self.v, kind, self.members, self.items, self.path, self.name = seen("v"), seen("kind"), seen("members"), seen("items"), path, name
-        self.is_object, self.is_array, self.is_string = kind == "OBJECT", kind == "ARRAY", kind == "STRING"
+        self.is_object, self.is_array, self.is_string = kind.startswith("OBJECT"), kind.startswith("ARRAY"), kind == "STRING"
         self.is_boolean, self.is_null = kind == "BOOLEAN", kind == "VOID"
         self.is_number = kind.startswith("DECIMAL") | kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 
     @staticmethod
-    def with_(v: Column, path: Column, body: Callable[[Value], Column]) -> Column:
-        """body(Value), its parts read once."""
-        bound = lambda one: _let(F.struct(*[c.alias(n) for n, c in _parts(one).items()]), lambda seen: body(Value(lambda part: seen[part], path)))
-        return _let(v, bound)
+    def with_(v: Column, path: Column, needs: set[str], body: Callable[[Value], Column]) -> Column:
+        """body(Value), with the parts that are needed read once. v is a variable or cheap."""
+        members = F.try_variant_get(v, "$", MAP) if "members" in needs else None
+        items = F.try_variant_get(v, "$", LIST) if "items" in needs else None
+        parts = [v.alias("v"), (F.lit(None).cast(MAP) if members is None else members).alias("members"), (F.lit(None).cast(LIST) if items is None else items).alias("items")]
+        if members is None and items is None:
+            return _let(F.struct(*parts, _kind(v, None, None).alias("kind")), lambda seen: body(Value(lambda part: seen[part], path)))
+        kinded = lambda x: F.struct(x["v"].alias("v"), x["members"].alias("members"), x["items"].alias("items"), _kind(x["v"], x["members"] if members is not None else None, x["items"] if items is not None else None).alias("kind"))
+        return _let(F.struct(*parts), lambda x: _let(kinded(x), lambda seen: body(Value(lambda part: seen[part], path))))
 
     @property
     def number(self) -> Column:
@@ -94,24 +104,39 @@ class _Compiler:
         self.levels: list[dict[str, Column]] = []
         self.depth: dict[str, int] = {}
         self.keys: dict[tuple[str, str], str] = {}
+        self.wanted: dict[str, set[str]] = {}
 
     def key(self, parent: str, name: str) -> str:
         """A column name for a property of a fixed value: the same for the same place."""
         return self.keys.setdefault((parent, name), f"json{len(self.keys) + 1}")
 
-    def fixed(self, key: str, v: Column, path: Column, depth: int) -> Value:
+    def needs(self, schema: dict | bool | None, seen: tuple = ()) -> set[str]:
+        """Which of members and items a schema looks at, at the value itself."""
+        if not isinstance(schema, dict):
+            return set()
+        out = {"members"} if OF_OBJECTS & set(schema) else set()
+        out |= {"items"} if OF_LISTS & set(schema) else set()
+        for word in IN_PLACE:
+            for s in schema.get(word, []) if word in ("allOf", "anyOf", "oneOf") else [schema[word]] if word in schema else []:
+                out |= self.needs(s, seen)
+        if schema.get("$ref") and schema["$ref"] not in seen:
+            out |= self.needs(self.resolve(schema["$ref"]), (*seen, schema["$ref"]))
+        return out
+
+    def fixed(self, key: str, v: Column, path: Column, depth: int, needs: set[str]) -> Value:
         """The value at a fixed place, in two levels of columns: itself, then what it holds."""
         name = f"_{key}"
-        if name not in self.depth:
-            self.depth[name] = depth
-            while len(self.levels) < depth + 3:
-                self.levels.append({})
-            parts = _parts(F.col(f"{name}_v"))
-            self.levels[depth][f"{name}_v"] = v
-            self.levels[depth + 1] |= {f"{name}_members": parts["members"], f"{name}_items": parts["items"]}
-            kind = F.when(F.col(f"{name}_members").isNotNull(), "OBJECT").when(F.col(f"{name}_items").isNotNull(), "ARRAY").otherwise(F.schema_of_variant(F.col(f"{name}_v")))
-            self.levels[depth + 2][f"{name}_kind"] = kind
-
+        self.depth.setdefault(name, depth)
+        wanted = self.wanted.setdefault(name, set())
+        wanted |= needs  # several schemas may look at one place
+        while len(self.levels) < depth + 3:
+            self.levels.append({})
+        one = F.col(f"{name}_v")
+        self.levels[depth][f"{name}_v"] = v
+        for part, kind in (("members", MAP), ("items", LIST)):
+            self.levels[depth + 1][f"{name}_{part}"] = F.try_variant_get(one, "$", kind) if part in wanted else F.lit(None).cast(kind)
+        read = [F.col(f"{name}_{part}") if part in wanted else None for part in ("members", "items")]
+        self.levels[depth + 2][f"{name}_kind"] = _kind(one, *read)
 
         def once(part: str, c: Column) -> Column:
             self.levels[self.depth[name] + 1][f"{name}_{part}"] = c
@@ -130,7 +155,7 @@ class _Compiler:
 
     def inside(self, schema: dict | bool, v: Column, path: Column, seen: tuple) -> Column:
         """Problems of a part."""
-        return Value.with_(v, path, lambda x: self.problems(schema, x, seen))
+        return Value.with_(v, path, self.needs(schema, seen), lambda x: self.problems(schema, x, seen))
 
     def holds(self, schema: dict | bool, x: Value, seen: tuple) -> Column:
         return F.size(self.problems(schema, x, seen)) == 0
@@ -219,7 +244,7 @@ class _Compiler:
             if x.name is None:
                 own = self.inside(s, v, path, seen)
             else:
-                own = self.problems(s, self.fixed(self.key(x.name, name), v, path, self.depth[x.name] + 2), seen)
+                own = self.problems(s, self.fixed(self.key(x.name, name), v, path, self.depth[x.name] + 2, self.needs(s, seen)), seen)
             found.append(_only(F.coalesce(x.is_object & has(name), F.lit(False)), own))
         each = lambda s, chosen: F.flatten(F.transform(F.map_entries(chosen), lambda e: self.inside(s, e["value"], F.concat(x.path, F.lit("."), e["key"]), seen)))
         matches = lambda pattern: lambda k: k.rlike(pattern)
@@ -277,14 +302,15 @@ def schema_problems(raw: Column, schema: dict | bool | None) -> Column:
 
     Without a schema the text need only parse. A null text, one that is no JSON, and the bare `null` have the one problem `$: not JSON`.
     """
-    return Value.with_(F.try_parse_json(raw), F.lit("$"), lambda x: _judged(_Compiler(schema), x))
+    compiler = _Compiler(schema)
+    return _let(F.try_parse_json(raw), lambda v: Value.with_(v, F.lit("$"), compiler.needs(schema), lambda x: _judged(compiler, x)))
 
 
 def with_schema_problems(df: DataFrame, raw: str, schema: dict | bool | None, name: str = "problems") -> DataFrame:
     """df with the same as a column: parts at fixed places of the text are columns, level by level, so that they are read once, in
     generated code. Columns of df that begin with `_json` are not touched, but may not be named like those."""
     compiler = _Compiler(schema)
-    root = compiler.fixed("json", F.try_parse_json(raw), F.lit("$"), 0)
+    root = compiler.fixed("json", F.try_parse_json(raw), F.lit("$"), 0, compiler.needs(schema))
     problems = _judged(compiler, root)
     out = df
     for level in compiler.levels:

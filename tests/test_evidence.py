@@ -30,6 +30,8 @@ def model(s, v, path="$"):
     if s is True or s is False:
         return [] if s else [f"{path}: false"]
     out = []
+    if s.get("$ref") == "#/$defs/l":
+        out += model({"maxItems": 1, "type": "array"}, v, path)
     say = lambda bad, what: out.append(f"{path}: {what}") if bad else None
     number, text = kind_ok(v, "number"), isinstance(v, str)
     if "type" in s:
@@ -93,6 +95,7 @@ SCHEMAS = [
     {"properties": {"a": {"items": {"type": "object", "properties": {"b": {"items": {"enum": [1, "x", None, [1], {"a": 1}, True]}}}, "required": ["b"]}, "minItems": 1, "maxItems": 2}}, "minProperties": 1, "maxProperties": 2, "dependentRequired": {"b": ["a", "c"]}},
     {"items": {"anyOf": [{"type": "number", "multipleOf": 2}, {"type": "string"}]}, "prefixItems": [{"const": 1}, False], "uniqueItems": True, "contains": {"type": "number"}, "minContains": 1, "maxContains": 2},
     {"allOf": [{"not": {"type": "boolean"}}, {"oneOf": [{"type": "object"}, {"required": ["a"]}, {"maximum": 2}]}], "if": {"type": "string"}, "then": {"maxLength": 1}, "else": {"propertyNames": {"maxLength": 1, "pattern": "^[ab]"}}},
+    {"allOf": [{"properties": {"a": {"type": "number"}}}, {"properties": {"a": {"minItems": 2}}}, {"properties": {"a": {"required": ["b"]}, "b": {"$ref": "#/$defs/l"}}}], "$defs": {"l": {"maxItems": 1, "type": "array"}}},
     {"patternProperties": {"^a": {"exclusiveMinimum": 1, "maximum": 2.5}, "b": {"type": "boolean"}}, "additionalProperties": False},
     True,
     False,
