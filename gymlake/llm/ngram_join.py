@@ -402,6 +402,10 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", sma
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those that a document of a smaller doc_id stands for; rows without doc_id stay."""
+    """docs without those that a document of a smaller doc_id stands for.
+
+    Rows without doc_id stay, and so do null, empty and blank texts, which are linked with nothing. Rows that repeat a doc_id stay or
+    go together. An empty table gives no rows. Other columns and their order stay.
+    """
     gone = similar_groups(docs).where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

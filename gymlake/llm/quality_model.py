@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of each row. Null and empty texts get the score of no words.
 
-    A null doc_id is not held out. Repeated rows are scored each. Other columns are not read.
+    A null doc_id is not held out. Repeated rows are scored each. An empty table gives no rows. Other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size

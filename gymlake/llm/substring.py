@@ -352,7 +352,11 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, with_text: bool = False,
 
 
 def apply_removal(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """docs with the repeated words taken out of text (n_chars follows); rows and other columns stay."""
+    """docs with the repeated words taken out of text (n_chars follows); rows and other columns stay.
+
+    Null texts stay null, rows without doc_id stay whole. Rows that repeat a doc_id are each judged against documents of a smaller
+    one, not against each other. An empty table gives no rows.
+    """
     found = repeats(docs, depth)
     names = [f"_{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
