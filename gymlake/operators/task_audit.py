@@ -37,7 +37,7 @@ def without_log(raw: Column) -> Column:
 
 
 def _checked(families: dict[str, T.StructType]):
-    keys = {f: names_in(t) | {p for _, g, parameters in TOOLS if g == f for p in parameters.split()} for f, t in families.items()}
+    keys = {f: names_in(t) | {p for _, g, parameters in TOOLS if g == f for p in parameters} for f, t in families.items()}
     tools = {f: {n for n, g, _ in TOOLS if g == f} for f in families}
     examples = {f: json.dumps(example(t)) for f, t in families.items()}
 

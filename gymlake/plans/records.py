@@ -99,7 +99,7 @@ def predicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "clean": "len(state['notes']) == 2", "initially_true": "len(state['notes']) == 0", "leaks": "state['notes'][0]['title'] == 'write this exact and very long sentence'",
         "reads_unknown": "state['zzz'] == 1", "tautology": "state['notes'] == [] or state['notes'] != []", "unknown_tool": "state['notes'][0].get('size') == 3",
     }
-    known = {"notes", "title", "content", "tags"} | {p for _, f, ps in C.TOOLS if f == "mcp_notes" for p in ps.split()}
+    known = {"notes", "title", "content", "tags"} | {p for _, f, ps in C.TOOLS if f == "mcp_notes" for p in ps}
     rows = []
     for name, p in sorted(checkers.items()):
         reason = P.compile_predicate(p, NOTES, state=F.lit(None)).reason

@@ -15,27 +15,27 @@ JUDGE_TAG = "final_evaluation"
 
 # Tool, family, parameters.
 TOOLS = (
-    ("list_collections", "mcp_api", ""),
-    ("query_records", "mcp_api", "collection filter_expr"),
-    ("create_record", "mcp_api", "collection fields"),
-    ("update_record", "mcp_api", "record_id fields"),
-    ("delete_record", "mcp_api", "record_id"),
-    ("list_directory", "terminal_ops", "directory"),
-    ("read_file", "terminal_ops", "path"),
-    ("write_file", "terminal_ops", "path text"),
-    ("move_path", "terminal_ops", "source target"),
-    ("remove_path", "terminal_ops", "path"),
-    ("make_directory", "terminal_ops", "directory"),
-    ("web_search", "web_research", "query"),
-    ("open_result", "web_research", "rank"),
-    ("extract_snippet", "web_research", "rank"),
-    ("save_note", "web_research", "headline body"),
-    ("list_saved_notes", "web_research", ""),
-    ("show_file", "code_repo", "module"),
-    ("apply_patch", "code_repo", "module diff"),
-    ("run_test_suite", "code_repo", "suite"),
-    ("vcs_status", "code_repo", ""),
-    ("open_branch", "code_repo", "branch"),
+    ("list_collections", "mcp_api", ()),
+    ("query_records", "mcp_api", ("collection", "filter_expr")),
+    ("create_record", "mcp_api", ("collection", "fields")),
+    ("update_record", "mcp_api", ("record_id", "fields")),
+    ("delete_record", "mcp_api", ("record_id",)),
+    ("list_directory", "terminal_ops", ("directory",)),
+    ("read_file", "terminal_ops", ("path",)),
+    ("write_file", "terminal_ops", ("path", "text")),
+    ("move_path", "terminal_ops", ("source", "target")),
+    ("remove_path", "terminal_ops", ("path",)),
+    ("make_directory", "terminal_ops", ("directory",)),
+    ("web_search", "web_research", ("query",)),
+    ("open_result", "web_research", ("rank",)),
+    ("extract_snippet", "web_research", ("rank",)),
+    ("save_note", "web_research", ("headline", "body")),
+    ("list_saved_notes", "web_research", ()),
+    ("show_file", "code_repo", ("module",)),
+    ("apply_patch", "code_repo", ("module", "diff")),
+    ("run_test_suite", "code_repo", ("suite",)),
+    ("vcs_status", "code_repo", ()),
+    ("open_branch", "code_repo", ("branch",)),
 )
 DESTRUCTIVE = ("delete_record", "remove_path", "delete_note")
 HELD_OUT_FAMILY = "web_research"
@@ -48,7 +48,7 @@ def domains(spark: SparkSession) -> DataFrame:
 
 
 def tools(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, f, p.split()) for n, f, p in TOOLS], "name string, family string, params array<string>")
+    return spark.createDataFrame([(n, f, list(p)) for n, f, p in TOOLS], "name string, family string, params array<string>")
 
 
 def registered(registry: DataFrame, new: DataFrame) -> DataFrame:
