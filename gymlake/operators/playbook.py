@@ -17,8 +17,9 @@ def pareto_frontier(points: DataFrame, key: str, *axes: str) -> DataFrame:
     """Points that no other one dominates (at least as good on every axis, better on one); ties stay.
 
     Only the points of highest first axis within each combination of the others
-    can survive, so duplicates collapse before the anti-join; the comparison is
-    between candidates of one frontier, which are few, and is checked in blocks.
+    can survive, so duplicates collapse before the anti-join. The comparison is a
+    nested loop over what is left, for candidates of one frontier, which are few;
+    `streaming.frontier` keeps frontiers of many.
     """
     best = points.groupBy(*axes[1:]).agg(F.max(axes[0]).alias(axes[0])).select(*axes)
     other = best.select(*[F.col(a).alias(f"_{a}") for a in axes])
