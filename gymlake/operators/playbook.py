@@ -7,10 +7,11 @@ import re
 from array import array
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gymlake.functions.text import content_tokens, jaccard
+from gymlake.operators import similar as S
+from gymlake.sources.scratch import scratch_folder
 
 
 def pareto_frontier(points: DataFrame, key: str, *axes: str) -> DataFrame:
@@ -55,27 +56,29 @@ def apply_credit(entries: DataFrame, credits: DataFrame) -> DataFrame:
 def near_duplicates(entries: DataFrame, incoming: DataFrame, threshold: float = 0.7) -> DataFrame:
     """For each incoming entry its most similar stored one (not itself) of Jaccard similarity `threshold` or more, the earliest of equals.
 
-    Prefix filter: with tokens in one order, similar sets share a token among the
-    first n - ceil(t * n) + 1 of each; rarest tokens come first, so candidates stay few.
+    Words are known by digests of 64 bits. The sets are written once and compared
+    with the incoming ones a block at a time (`similar`); a block's best are written.
     """
-    sets = lambda df: df.select("entry_id", "pos", content_tokens(F.col("content")).alias("tokens")).where(F.size("tokens") > 0)
-    left, right = sets(incoming), sets(entries)
-    rarity = right.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-
-    def prefixes(df: DataFrame) -> DataFrame:
-        n = F.size("tokens")
-        long = df.select("entry_id", n.alias("n"), F.explode("tokens").alias("token")).join(rarity, "token", "left")
-        order = Window.partitionBy("entry_id").orderBy(F.coalesce("df", F.lit(0)), "token")
-        keep = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1
-        return long.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= keep).select("token", "entry_id", "n")
-
-    pl, pr = prefixes(left).withColumnRenamed("entry_id", "new_id").withColumnRenamed("n", "nn"), prefixes(right)
-    near = (F.col("n") >= threshold * F.col("nn")) & (F.col("nn") >= threshold * F.col("n"))
-    candidates = pl.join(pr, "token").where(near & (F.col("new_id") != F.col("entry_id"))).select("new_id", "entry_id").distinct()
-    joined = candidates.join(left.select(F.col("entry_id").alias("new_id"), F.col("tokens").alias("a")), "new_id").join(right.select("entry_id", "pos", F.col("tokens").alias("b")), "entry_id")
-    scored = joined.withColumn("similarity", jaccard(F.col("a"), F.col("b"))).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("new_id").agg(F.max_by(F.struct("entry_id", "similarity"), F.struct("similarity", -F.col("pos"))).alias("m"))
-    return best.select("new_id", F.col("m.entry_id").alias("entry_id"), F.col("m.similarity").alias("similarity"))
+    spark = entries.sparkSession
+    S.small_batches(spark)
+    sets, found = scratch_folder(spark), scratch_folder(spark)
+    for name, df in (("stored", entries), ("incoming", incoming)):
+        rows = df.where("entry_id is not null").select("entry_id", "pos", S.token_digests(F.col("content")).alias("tokens"))
+        (rows if name == "stored" else rows.withColumn("key", F.xxhash64("tokens"))).write.parquet(f"{sets}/{name}")
+    # filtered when read again, since a filter of what a projection makes would make it twice
+    stored, named = (spark.read.parquet(f"{sets}/{name}").where(F.size("tokens") > 0) for name in ("stored", "incoming"))
+    named.select("key", "tokens").dropDuplicates(["key"]).write.parquet(f"{sets}/sought")
+    sought = spark.read.parquet(f"{sets}/sought")
+    n_blocks = -(-(sought.agg(F.sum(F.size("tokens"))).first()[0] or 0) // S.BLOCK_TOKENS)
+    key, pos = (entries.schema[c].dataType.simpleString() for c in ("entry_id", "pos"))
+    schema = f"new_id {key}, entry_id {key}, pos {pos}, similarity double"
+    best = lambda df: df.groupBy("new_id").agg(F.max_by(F.struct("entry_id", "pos", "similarity"), F.struct("similarity", -F.col("pos"))).alias("m")).select("new_id", "m.*")
+    for i in range(n_blocks):
+        block = F.pmod("key", F.lit(n_blocks)) == i
+        S.run_block(stored, sought.where(block), named.where(block).select("entry_id", "key"), threshold, S.best_matches, schema, f"{found}/block={i}", best)
+    S.remove(spark, sets)
+    out = spark.read.schema(schema).parquet(found) if n_blocks else spark.createDataFrame([], schema)
+    return best(out).select("new_id", "entry_id", "similarity")  # an id that comes twice may be in two blocks
 
 
 EDITED = "playbook_id int, pos int, entry_id string, tag string, content string, helpful long, harmful long, version int, provenance array<string>, outcome string"
