@@ -5,10 +5,15 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gymlake.operators import similar as S
 from gymlake.sources.scratch import scratch_folder
@@ -81,7 +86,6 @@ def near_duplicates(entries: DataFrame, incoming: DataFrame, threshold: float =
     return best(out).select("new_id", "entry_id", "similarity")  # an id that comes twice may be in two blocks
 
 
-EDITED = "playbook_id int, pos int, entry_id string, tag string, content string, helpful long, harmful long, version int, provenance array<string>, outcome string"
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -141,7 +145,36 @@ class _Contents:
         return False
 
 
-def edit_playbook(entries: list[dict], ops: list[dict]) -> tuple[list[dict], list[str]]:
+class _Known:
+    """As `_Contents`, with the similar texts found before: `keys` are the texts' sets (0: empty), and left[i] is similar to right[i]."""
+
+    def __init__(self, keys: np.ndarray, left: np.ndarray, right: np.ndarray):
+        order = np.argsort(left, kind="stable")
+        names, starts = np.unique(left[order], return_index=True)
+        self.keys, self.right = keys, right[order]
+        self.similar = dict(zip(names.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False), strict=True))
+        self.held: dict[int, int] = {}
+        self.live: dict[int, int] = {}
+
+    def put(self, at: int, text: int) -> None:
+        self.drop(at)
+        if key := int(self.keys[text]):
+            self.held[at] = key
+            self.live[key] = self.live.get(key, 0) + 1
+
+    def drop(self, at: int) -> None:
+        if key := self.held.pop(at, 0):
+            self.live[key] -= 1
+            if not self.live[key]:
+                del self.live[key]
+
+    def said(self, text: int) -> bool:
+        key = int(self.keys[text])
+        first, last = self.similar.get(key, (0, 0))
+        return key in self.live or any(k in self.live for k in self.right[first:last].tolist())
+
+
+def edit_playbook(entries: list[dict], ops: Iterable[dict], contents: _Contents | _Known | None = None) -> tuple[list[dict], list[str]]:
     """Apply operations in order; what became of each.
 
     Rejected, while the rest go on: an operation without the content it needs, an
@@ -152,14 +185,15 @@ def edit_playbook(entries: list[dict], ops: list[dict]) -> tuple[list[dict], lis
     them. Tags are normalised.
 
     Entries are kept by place and found by id, so an operation does not scan the book.
+    contents: knows which texts say the same; else it is made here, which takes `ops` as a list.
     """
-    book, outcomes = {at: dict(e) for at, e in enumerate(entries)}, []
+    book, outcomes = dict(enumerate(entries)), []  # an entry is replaced, never changed
     places_of: dict[str, list[int]] = {}
     for at, e in book.items():
         places_of.setdefault(e["entry_id"], []).append(at)
-    contents = None
-    if any(op.get("op") == "add" for op in ops):
+    if contents is None and any(op.get("op") == "add" for op in ops):
         contents = _Contents([e["content"] for e in entries] + [op.get("content") or "" for op in ops])
+    if contents:
         for at in book:
             contents.put(at, at)
     find = lambda i: min(places_of[i]) if places_of.get(i) else None
@@ -215,16 +249,133 @@ def change_count(outcomes: Column, merged: Column) -> Column:
     return F.size(done) + F.coalesce(merged, F.lit(0))
 
 
+#: Operations that give an entry a content.
+_PLACING = ("add", "update", "merge")
+#: Sets of words lie in so many folders, by playbook, so that a block reads those of its own.
+_SLOTS = 32
+
+
+class _Digests(dict):
+    """Digests of words, the first ones remembered."""
+
+    def __missing__(self, word: str) -> int:
+        digest = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        if len(self) < 200_000:
+            self[word] = digest
+        return digest
+
+
+def _sets_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with, for `content`, the set of its words (by playbook: the digests of two share none), the set's key, and how much of the text is no white space."""
+    digests = _Digests()
+    for batch in batches:
+        sizes, words, keys, skips, lengths = [], [], [], [], []
+        for text, op in zip(batch.column("content").to_pylist(), batch.column("op").to_pylist(), strict=True):
+            own = {w for w in _TOKEN.findall(text.lower()) if len(w) > 2} if text else ()
+            words.extend(map(digests.__getitem__, own))
+            sizes.append(len(own))
+            skips.append(None if op is None or text is None else len(text) - len(text.lstrip()))
+            lengths.append(None if op is None or text is None else len(text.strip()))
+        values = np.array(words, np.int64) ^ np.repeat(batch.column("book").to_numpy(), sizes)
+        offsets = np.cumsum([0, *sizes], dtype=np.int32)
+        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            own = values[lo:hi]
+            own.sort()
+            keys.append(int.from_bytes(blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if hi > lo else 0)
+        new = {"key": pa.array(keys, pa.int64()), "skip": pa.array(skips, pa.int32()), "length": pa.array(lengths, pa.int32()), "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
+        kept = [c for c in batch.schema.names if c != "content"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new.values()], [*kept, *new])
+
+
+def _similar_texts(sets: DataFrame, target: str) -> DataFrame:
+    """Keys of similar, unequal sets of a playbook, those of additions as `key`."""
+    spark = sets.sparkSession
+    texts = sets.where("key <> 0")
+    added = texts.where("op = 'add'")
+    per_slot = added.select("slot", "key", F.size("tokens").alias("n")).dropDuplicates(["slot", "key"]).groupBy("slot").agg(F.sum("n")).collect()  # few slots
+    blocks, group, held = [], [], 0
+    for slot, n in sorted(map(tuple, per_slot)):
+        parts = -(-n // S.BLOCK_TOKENS)
+        if parts > 1:
+            blocks += [([slot], i, parts) for i in range(parts)]
+            continue
+        if held + n > S.BLOCK_TOKENS:
+            blocks.append((group, 0, 1))
+            group, held = [], 0
+        group, held = [*group, slot], held + n
+    blocks += [(group, 0, 1)] if group else []
+    schema = f"playbook_id {sets.schema['playbook_id'].dataType.simpleString()}, key long, similar long"
+    for i, (slots, part, parts) in enumerate(blocks):
+        here = F.col("slot").isin(slots)
+        sought = added.where(here & (F.pmod("key", F.lit(parts)) == part)).select("key", "tokens").dropDuplicates(["key"])
+        S.run_block(texts.where(here).select("playbook_id", "key", "tokens"), sought, None, 0.7, S.similar_keys, schema, f"{target}/block={i}", DataFrame.distinct)
+    return spark.read.schema(schema).parquet(target).select("playbook_id", "key", "similar") if blocks else spark.createDataFrame([], schema)
+
+
+def _edited(table: pa.Table) -> pa.Table:
+    """The entries of a playbook after its operations, with references to their texts."""
+    of = lambda kind: table.filter(pc.equal(table.column("kind"), kind))
+    ordered = lambda t: t.take(np.lexsort((t.column("h").to_numpy(), t.column("pos").to_numpy())))
+    before, batch, pairs = ordered(of(0)), ordered(of(1)), of(2)
+    n, playbook = before.num_rows, table.column("playbook_id")[0]
+    texts = pa.concat_tables([t.select(["kind", "pos", "h", "skip", "length", "key"]) for t in (before, batch)])
+    contents = _Known(texts.column("key").to_numpy(), pairs.column("key").to_numpy(), pairs.column("similar").to_numpy())
+    texts = texts.drop_columns("key")
+    columns = lambda t, *names: zip(*(t.column(c).to_pylist() for c in names), strict=True)
+    entries = [
+        {"entry_id": i, "tag": tag, "content": str(at), "helpful": h, "harmful": b, "version": v}
+        for at, (i, tag, h, b, v) in enumerate(columns(before, "entry_id", "tag", "helpful", "harmful", "version"))
+    ]
+    ops = ({"op": op, "entry_ids": ids, "tag": tag, "content": str(n + at) if length else ""} for at, (op, ids, tag, length) in enumerate(columns(batch, "op", "entry_ids", "tag", "length")))
+    del table, before, pairs
+    book, outcomes = edit_playbook(entries, ops, contents)
+    del entries, contents
+    refs = texts.take([int(e["content"]) for e in book])
+    own = {c: pa.array([e[c] for e in book], kind) for c, kind in (("entry_id", pa.string()), ("tag", pa.string()), ("helpful", pa.int64()), ("harmful", pa.int64()), ("version", pa.int32()))}
+    own["provenance"] = pa.array([e.get("provenance") or [] for e in book], pa.list_(pa.string()))
+    own["outcome"] = pa.array([None if i else json.dumps(outcomes) for i in range(len(book))], pa.string())
+    return pa.table({"playbook_id": pa.array([playbook.as_py()] * len(book), playbook.type), "place": pa.array(range(len(book)), pa.int32()), **own, **{c: refs.column(c) for c in refs.schema.names}})
+
+
 def apply_edits(entries: DataFrame, ops: DataFrame) -> DataFrame:
-    """Edited playbooks, an entry a row, with the outcomes of the batch as JSON in the first one. A playbook, one file of rules, is one group."""
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        before = left.sort_values("pos").to_dict("records")
-        for e in before:
-            e |= {"entry_id": str(e["entry_id"]), "version": int(e["entry_version"])}
-        batch = [r | {"entry_ids": [str(i) for i in (r["entry_ids"] if r["entry_ids"] is not None else [])]} for r in right.sort_values("batch_pos").to_dict("records")]
-        book, outcomes = edit_playbook(before, batch)
-        rows = [(int(key[0]), i, e["entry_id"], e["tag"], e["content"], int(e["helpful"]), int(e["harmful"]), int(e["version"]), list(e.get("provenance") or []), None if i else json.dumps(outcomes)) for i, e in enumerate(book)]
-        return pd.DataFrame(rows, columns=["playbook_id", "pos", "entry_id", "tag", "content", "helpful", "harmful", "version", "provenance", "outcome"])
-
-    return entries.groupBy("playbook_id").cogroup(ops.groupBy("playbook_id")).applyInPandas(run, EDITED)
+    """Edited playbooks, an entry a row, with the outcomes of the batch as JSON in the first one.
+
+    The operations of a playbook are applied in order in one task, which gets no
+    texts: which of them say the same is found before, by blocks of additions
+    (`similar`), and what the entries then say is joined by text afterwards. Sets
+    and edited playbooks are written on the way.
+    """
+    spark = entries.sparkSession
+    S.small_batches(spark)
+    sets, found, edited = scratch_folder(spark), scratch_folder(spark), scratch_folder(spark)
+    null, book = lambda kind: F.lit(None).cast(kind), F.xxhash64("playbook_id").alias("book")
+    h = F.xxhash64("content").alias("h")
+    old = entries.select(
+        "playbook_id", book, F.lit(0).alias("kind"), "pos", h, F.col("entry_id").cast("string").alias("entry_id"), "tag", F.col("helpful").cast("long").alias("helpful"),
+        F.col("harmful").cast("long").alias("harmful"), F.col("entry_version").cast("int").alias("version"), null("string").alias("op"), null("array<string>").alias("entry_ids"), "content",
+    )
+    new = ops.select(
+        "playbook_id", book, F.lit(1), F.col("batch_pos").alias("pos"), h, null("string"), "tag", null("long"), null("long"), null("int"), F.coalesce("op", F.lit("")), F.col("entry_ids").cast("array<string>"),
+        F.when(F.col("op").isin(*_PLACING), F.col("content")),
+    )
+    rows = old.union(new)
+    light = [f for f in rows.schema.fields if f.name != "content"]
+    fields = T.StructType([*light, *(T.StructField(c, k) for c, k in (("key", T.LongType()), ("skip", T.IntegerType()), ("length", T.IntegerType()), ("tokens", T.ArrayType(T.LongType(), False))))])
+    rows.mapInArrow(_sets_of_texts, fields).withColumn("slot", F.pmod("book", F.lit(_SLOTS))).write.partitionBy("slot").parquet(sets)
+    texts = spark.read.schema(T.StructType([*fields, T.StructField("slot", T.LongType())])).parquet(sets)
+    pairs = _similar_texts(texts, found).withColumn("kind", F.lit(2))
+    table = texts.drop("slot", "tokens", "book").unionByName(pairs, allowMissingColumns=True)
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema.fields}
+    by_name = ", ".join(f"{c} {kinds[c]}" for c in ("entry_id", "tag", "helpful", "harmful", "version"))
+    shape = f"playbook_id {kinds['playbook_id']}, place int, {by_name}, provenance array<string>, outcome string, kind int, pos {kinds['pos']}, h long, skip int, length int"
+    table.groupBy("playbook_id").applyInArrow(_edited, shape).write.parquet(edited)
+    place = ["kind", "playbook_id", "pos", "h"]
+    twice = texts.groupBy(*place).count().where("count > 1").limit(1).count()  # one at most
+    S.remove(spark, sets)
+    S.remove(spark, found)
+    contents = old.select(*place, "content").union(ops.where(F.col("op").isin(*_PLACING)).select(F.lit(1), "playbook_id", "batch_pos", h, "content"))
+    contents = (contents.dropDuplicates(place) if twice else contents).select(*(F.col(c).alias(f"_{c}") for c in place), "content")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
+    text = F.when(F.col("kind") == 0, F.col("content")).otherwise(F.substr("content", F.col("skip") + 1, F.col("length")))
+    out = spark.read.schema(shape).parquet(edited).join(contents, same, "left")
+    return out.select(F.col("playbook_id").cast("int").alias("playbook_id"), F.col("place").alias("pos"), "entry_id", "tag", text.alias("content"), "helpful", "harmful", "version", "provenance", "outcome")
