@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from hashlib import blake2b
 
 import numpy as np
@@ -149,32 +149,31 @@ class _Known:
     """As `_Contents`, with the similar texts found before: `keys` are the texts' sets (0: empty), and left[i] is similar to right[i]."""
 
     def __init__(self, keys: np.ndarray, left: np.ndarray, right: np.ndarray):
-        order = np.argsort(left, kind="stable")
-        names, starts = np.unique(left[order], return_index=True)
-        self.keys, self.right = keys, right[order]
-        self.similar = dict(zip(names.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False), strict=True))
-        self.held: dict[int, int] = {}
-        self.live: dict[int, int] = {}
+        names, self.sets = np.unique(np.concatenate([[0], keys]), return_inverse=True)
+        self.empty, self.sets = self.sets[0], self.sets[1:].astype(np.int32)
+        numbers = np.searchsorted(names, left)
+        self.similar = np.searchsorted(names, right[np.argsort(numbers, kind="stable")]).astype(np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(numbers, minlength=len(names)))])
+        self.held = np.full(len(keys), -1, np.int32)  # by place; there are no more places than texts
+        self.live = np.zeros(len(names), np.int32)
 
     def put(self, at: int, text: int) -> None:
         self.drop(at)
-        if key := int(self.keys[text]):
-            self.held[at] = key
-            self.live[key] = self.live.get(key, 0) + 1
+        if (s := self.sets[text]) != self.empty:
+            self.held[at] = s
+            self.live[s] += 1
 
     def drop(self, at: int) -> None:
-        if key := self.held.pop(at, 0):
-            self.live[key] -= 1
-            if not self.live[key]:
-                del self.live[key]
+        if (s := self.held[at]) >= 0:
+            self.live[s] -= 1
+            self.held[at] = -1
 
     def said(self, text: int) -> bool:
-        key = int(self.keys[text])
-        first, last = self.similar.get(key, (0, 0))
-        return key in self.live or any(k in self.live for k in self.right[first:last].tolist())
+        s = self.sets[text]
+        return bool(self.live[s]) or bool(self.live[self.similar[self.starts[s] : self.starts[s + 1]]].any())
 
 
-def edit_playbook(entries: list[dict], ops: Iterable[dict], contents: _Contents | _Known | None = None) -> tuple[list[dict], list[str]]:
+def edit_playbook(entries: list[dict], ops: list[dict]) -> tuple[list[dict], list[str]]:
     """Apply operations in order; what became of each.
 
     Rejected, while the rest go on: an operation without the content it needs, an
@@ -185,14 +184,20 @@ def edit_playbook(entries: list[dict], ops: Iterable[dict], contents: _Contents
     them. Tags are normalised.
 
     Entries are kept by place and found by id, so an operation does not scan the book.
-    contents: knows which texts say the same; else it is made here, which takes `ops` as a list.
     """
-    book, outcomes = dict(enumerate(entries)), []  # an entry is replaced, never changed
-    places_of: dict[str, list[int]] = {}
-    for at, e in book.items():
-        places_of.setdefault(e["entry_id"], []).append(at)
-    if contents is None and any(op.get("op") == "add" for op in ops):
+    contents = None
+    if any(op.get("op") == "add" for op in ops):
         contents = _Contents([e["content"] for e in entries] + [op.get("content") or "" for op in ops])
+    book, outcomes = _edit(entries, [e["entry_id"] for e in entries], ops, contents)
+    return [book[at] or dict(entries[at]) for at in sorted(book)], outcomes
+
+
+def _edit(entries: Sequence[dict], ids: Iterable[str], ops: Iterable[dict], contents: _Contents | _Known | None) -> tuple[dict[int, dict | None], list[str]]:
+    """`edit_playbook` by place, None for an entry as it was. contents: knows which texts say the same, by the places of entries and, after these, of operations."""
+    book: dict[int, dict | None] = dict.fromkeys(range(len(entries)))
+    outcomes, places_of = [], {}
+    for at, i in enumerate(ids):
+        places_of.setdefault(i, []).append(at)
     if contents:
         for at in book:
             contents.put(at, at)
@@ -205,7 +210,8 @@ def edit_playbook(entries: list[dict], ops: Iterable[dict], contents: _Contents
 
     def remove(places: list[int]) -> None:
         for at in set(places):
-            places_of[book.pop(at)["entry_id"]].remove(at)
+            e = book.pop(at) or entries[at]
+            places_of[e["entry_id"]].remove(at)
             if contents:
                 contents.drop(at)
 
@@ -221,14 +227,14 @@ def edit_playbook(entries: list[dict], ops: Iterable[dict], contents: _Contents
             places_of.setdefault(f"new-{n}", []).append(end)
             outcomes.append("added")
         elif kind == "update" and content and len(ids) == len(places) == 1:
-            e = book[places[0]]
+            e = book[places[0]] or entries[places[0]]
             put(places[0], e | {"content": content, "tag": tag or e["tag"], "version": e["version"] + 1}, n)
             outcomes.append("updated")
         elif kind == "remove" and len(ids) == len(places) == 1:
             remove(places)
             outcomes.append("removed")
         elif kind == "merge" and content and len(places) > 1:
-            olds = [book[p] for p in places]
+            olds = [book[p] or entries[p] for p in places]
             new = {
                 "entry_id": f"new-{n}", "tag": tag or olds[0]["tag"], "content": content, "helpful": sum(e["helpful"] for e in olds),
                 "harmful": sum(e["harmful"] for e in olds), "version": max(e["version"] for e in olds) + 1, "provenance": [e["entry_id"] for e in olds],
@@ -240,7 +246,7 @@ def edit_playbook(entries: list[dict], ops: Iterable[dict], contents: _Contents
             outcomes.append("merged")
         else:
             outcomes.append("rejected")
-    return [book[at] for at in sorted(book)], outcomes
+    return book, outcomes
 
 
 def change_count(outcomes: Column, merged: Column) -> Column:
@@ -285,6 +291,7 @@ def _sets_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         new = {"key": pa.array(keys, pa.int64()), "skip": pa.array(skips, pa.int32()), "length": pa.array(lengths, pa.int32()), "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
         kept = [c for c in batch.schema.names if c != "content"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new.values()], [*kept, *new])
+    S.trim()
 
 
 def _similar_texts(sets: DataFrame, target: str) -> DataFrame:
@@ -312,29 +319,51 @@ def _similar_texts(sets: DataFrame, target: str) -> DataFrame:
     return spark.read.schema(schema).parquet(target).select("playbook_id", "key", "similar") if blocks else spark.createDataFrame([], schema)
 
 
-def _edited(table: pa.Table) -> pa.Table:
+class _Entries:
+    """A table's rows as entries, each made when it is asked for; the content is the row's number."""
+
+    def __init__(self, table: pa.Table):
+        self.columns = {c: table.column(c).combine_chunks() for c in ("entry_id", "tag", "helpful", "harmful", "version")}
+        self.n = table.num_rows
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at: int) -> dict:
+        return {"content": str(at)} | {c: x[at].as_py() for c, x in self.columns.items()}
+
+
+def _edited(table: pa.Table) -> Iterator[pa.Table]:
     """The entries of a playbook after its operations, with references to their texts."""
-    of = lambda kind: table.filter(pc.equal(table.column("kind"), kind))
+    of = lambda kind, *names: table.filter(pc.equal(table.column("kind"), kind)).select(names)
     ordered = lambda t: t.take(np.lexsort((t.column("h").to_numpy(), t.column("pos").to_numpy())))
-    before, batch, pairs = ordered(of(0)), ordered(of(1)), of(2)
-    n, playbook = before.num_rows, table.column("playbook_id")[0]
-    texts = pa.concat_tables([t.select(["kind", "pos", "h", "skip", "length", "key"]) for t in (before, batch)])
+    place = ("kind", "pos", "h", "skip", "length", "key")
+    before, batch = ordered(of(0, *place, "entry_id", "tag", "helpful", "harmful", "version")), ordered(of(1, *place, "op", "entry_ids", "tag"))
+    pairs, playbook = of(2, "key", "similar"), table.column("playbook_id")[0]
+    del table
+    texts = pa.concat_tables([t.select(place) for t in (before, batch)])
     contents = _Known(texts.column("key").to_numpy(), pairs.column("key").to_numpy(), pairs.column("similar").to_numpy())
-    texts = texts.drop_columns("key")
-    columns = lambda t, *names: zip(*(t.column(c).to_pylist() for c in names), strict=True)
-    entries = [
-        {"entry_id": i, "tag": tag, "content": str(at), "helpful": h, "harmful": b, "version": v}
-        for at, (i, tag, h, b, v) in enumerate(columns(before, "entry_id", "tag", "helpful", "harmful", "version"))
-    ]
-    ops = ({"op": op, "entry_ids": ids, "tag": tag, "content": str(n + at) if length else ""} for at, (op, ids, tag, length) in enumerate(columns(batch, "op", "entry_ids", "tag", "length")))
-    del table, before, pairs
-    book, outcomes = edit_playbook(entries, ops, contents)
-    del entries, contents
-    refs = texts.take([int(e["content"]) for e in book])
-    own = {c: pa.array([e[c] for e in book], kind) for c, kind in (("entry_id", pa.string()), ("tag", pa.string()), ("helpful", pa.int64()), ("harmful", pa.int64()), ("version", pa.int32()))}
-    own["provenance"] = pa.array([e.get("provenance") or [] for e in book], pa.list_(pa.string()))
-    own["outcome"] = pa.array([None if i else json.dumps(outcomes) for i in range(len(book))], pa.string())
-    return pa.table({"playbook_id": pa.array([playbook.as_py()] * len(book), playbook.type), "place": pa.array(range(len(book)), pa.int32()), **own, **{c: refs.column(c) for c in refs.schema.names}})
+    texts, n, entries = texts.drop_columns("key"), before.num_rows, _Entries(before)
+    parts = lambda t: (t.slice(i, 5000) for i in range(0, t.num_rows, 5000))
+    rows = (r for p in parts(batch.select(["op", "entry_ids", "tag", "length"])) for r in p.to_pylist())
+    ops = (r | {"content": str(n + at) if r["length"] else ""} for at, r in enumerate(rows))
+    ids = (i for p in parts(before) for i in p.column("entry_id").to_pylist())
+    book, outcomes = _edit(entries, ids, ops, contents)
+    del contents, pairs, batch
+    places = sorted(book)
+    for i in range(0, max(1, len(places)), 5000):
+        es = [book[at] or entries[at] for at in places[i : i + 5000]]
+        refs = texts.take(pa.array([int(e["content"]) for e in es], pa.int64()))
+        own = {c: pa.array([e[c] for e in es], k) for c, k in (("entry_id", pa.string()), ("tag", pa.string()), ("helpful", pa.int64()), ("harmful", pa.int64()), ("version", pa.int32()))}
+        own["provenance"] = pa.array([e.get("provenance") or [] for e in es], pa.list_(pa.string()))
+        own["outcome"] = pa.array([json.dumps(outcomes) if i + k == 0 else None for k in range(len(es))], pa.string())
+        yield pa.table({"playbook_id": pa.array([playbook.as_py()] * len(es), playbook.type), "place": pa.array(range(i, i + len(es)), pa.int32()), **own, **{c: refs.column(c) for c in refs.schema.names}})
+
+
+def _edited_whole(table: pa.Table) -> pa.Table:
+    out = pa.concat_tables(_edited(table))
+    S.trim()
+    return out
 
 
 def apply_edits(entries: DataFrame, ops: DataFrame) -> DataFrame:
@@ -368,7 +397,7 @@ def apply_edits(entries: DataFrame, ops: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in table.schema.fields}
     by_name = ", ".join(f"{c} {kinds[c]}" for c in ("entry_id", "tag", "helpful", "harmful", "version"))
     shape = f"playbook_id {kinds['playbook_id']}, place int, {by_name}, provenance array<string>, outcome string, kind int, pos {kinds['pos']}, h long, skip int, length int"
-    table.groupBy("playbook_id").applyInArrow(_edited, shape).write.parquet(edited)
+    table.groupBy("playbook_id").applyInArrow(_edited_whole, shape).write.parquet(edited)
     place = ["kind", "playbook_id", "pos", "h"]
     twice = texts.groupBy(*place).count().where("count > 1").limit(1).count()  # one at most
     S.remove(spark, sets)

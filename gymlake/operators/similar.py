@@ -15,6 +15,7 @@ of sets that are all similar; it is spread over the tasks of the stored side.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 
 from gymlake.functions.text import content_tokens
 
-BLOCK_TOKENS = 6_000_000
-SHARED = 3
+BLOCK_TOKENS = 2_000_000
+SHARED = 8
 #: Hits, or tokens of compared sets, that are looked at in one go.
-CHUNK = 1_000_000
+CHUNK = 500_000
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
@@ -52,6 +53,15 @@ def remove(spark: SparkSession, folder: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that what the tasks of a process took does not add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Values and offsets of a column of lists without nulls."""
     if isinstance(column, pa.ChunkedArray):
@@ -187,9 +197,11 @@ def run_block(stored: DataFrame, sets: DataFrame, ids: DataFrame | None, thresho
                 found = index.similar(values[taken(offsets[first], n)], np.concatenate([[0], np.cumsum(n)]))
                 if len(found[0]):
                     yield from emit(batch, first, rows, names, of, *found)
+        trim()
 
     then(stored.mapInArrow(run, schema)).write.parquet(target)
     block.destroy()
+    trim()
 
 
 def first_two(group: np.ndarray, ids: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

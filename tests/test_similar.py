@@ -136,12 +136,14 @@ def test_edits_of_texts_that_are_joined_afterwards(spark, monkeypatch, block):
     r = random.Random(8)
     texts = corpus(r, 300, 400, 25) + ["", "  ", "Ünïcode Wörter ÉTÉ straße 数字 四五六七 x_y", " \x1cspaced  out words here\t\n", "a b"]
     entries = [(i % 3, i, f"e{i % 140}" if i > 145 else f"e{i}", f"t{i % 4}", r.choice(texts), i % 5, i % 3, i % 4) for i in range(150)]
+    entries += [(9, 1, "gone", "t", "all of this playbook goes", 1, 1, 1)]
     entries += [(7, 1, "lone", "t", "no operation comes here", 1, 1, 1)]
     ids = [e[2] for e in entries] + ["new-3", "new-10", "nobody"]
     ops = []
     for i in range(240):
         named = r.choice((None, [], r.sample(ids, 1), r.sample(ids, 1), r.sample(ids, 2), r.sample(ids, 3)))
         ops.append((i % 4, i, r.choice(("add", "add", "add", "update", "update", "merge", "remove", "dance", None)), named, r.choice((None, "", "A b", "t1")), r.choice([*texts, None])))
+    ops.append((9, 1, "remove", ["gone"], None, None))
     got, want = edited(spark, entries, ops), edited_at_once(entries, ops)
     assert got == want
     assert {o for book in want.values() for o in json.loads(book[0]["outcome"])} == {"added", "suppressed", "updated", "merged", "removed", "rejected"}
